@@ -202,3 +202,91 @@ def with_views(sql: str) -> str:
     if sql.startswith("WITH "):
         return f"{head},\n{sql[5:]}"
     return f"{head}\n{sql}"
+
+
+STATIC = ["year_built", "floor_count"]
+
+
+def clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Enriched readings with both imputation lookups applied."""
+    from gridloom.operators.impute import impute_bidirectional
+
+    return impute_bidirectional(
+        enriched(spark, sf), "building_id", "site_id", "ts_hour", "primary_use", STATIC, WEATHER
+    )
+
+
+def electric(spark: SparkSession, sf: str) -> DataFrame:
+    """Electricity readings without negatives, enriched."""
+    from gridloom.operators.quality import clean_readings
+
+    joined = enrich(clean_readings(readings(spark, sf), "meter_reading", "meter", 0), buildings(spark, sf), ["building_id"])
+    joined = enrich(joined, weather(spark, sf), ["site_id", "ts_hour"])
+    return joined.select("event_id", "ts_hour", *[F.col("ts").alias(c) if c == "timestamp" else F.col(c) for c in MERGED])
+
+
+def _interpolated_sql() -> str:
+    marks = ", ".join(
+        f"""last_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) OVER ahead AS {c}_pr,
+  last_value({c} IGNORE NULLS) OVER ahead AS {c}_pv,
+  first_value(CASE WHEN {c} IS NOT NULL THEN rn END IGNORE NULLS) OVER behind AS {c}_nr,
+  first_value({c} IGNORE NULLS) OVER behind AS {c}_nv"""
+        for c in WEATHER
+    )
+    values = ", ".join(
+        f"""CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_pr IS NULL THEN {c}_nv WHEN {c}_nr IS NULL THEN {c}_pv
+  ELSE {c}_pv + ({c}_nv - {c}_pv) / ({c}_nr - {c}_pr) * (rn - {c}_pr) END AS {c}"""
+        for c in WEATHER
+    )
+    return f"""SELECT site_id, ts_hour, {values} FROM (SELECT *, {marks}
+  FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY ts_hour) AS rn FROM spine)
+  WINDOW ahead AS (PARTITION BY site_id ORDER BY ts_hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  behind AS (PARTITION BY site_id ORDER BY ts_hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+def _carried_sql() -> str:
+    values = ", ".join(
+        f"coalesce(last_value(s.{c} IGNORE NULLS) OVER past, m.{c}, g.{c}) AS {c}, CAST(s.{c} IS NULL AS INTEGER) AS {c}_missing"
+        for c in WEATHER
+    )
+    return f"""SELECT s.site_id, s.ts_hour, {values} FROM e_spine s LEFT JOIN e_site m ON s.site_id = m.site_id LEFT JOIN e_all g ON true
+  WINDOW past AS (PARTITION BY s.site_id ORDER BY s.ts_hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+_MAXES = ", ".join(f"max({c}) AS {c}" for c in WEATHER)
+_MEDIANS = ", ".join(f"median({c}) AS {c}" for c in WEATHER)
+VIEWS.update(
+    {
+        "spine": f"SELECT site_id, ts_hour, {_MAXES} FROM enriched WHERE site_id IS NOT NULL GROUP BY 1, 2",
+        "interpolated": _interpolated_sql(),
+        "lookup": "SELECT building_id, max(primary_use) AS primary_use, max(year_built) AS year_built, "
+        "max(floor_count) AS floor_count FROM enriched GROUP BY 1",
+        "lookup_use": "SELECT primary_use, median(year_built) AS year_built, median(floor_count) AS floor_count FROM lookup GROUP BY 1",
+        "lookup_all": "SELECT median(year_built) AS year_built, median(floor_count) AS floor_count FROM lookup",
+        "static_filled": """SELECT l.building_id, l.primary_use,
+  coalesce(l.year_built, round_even(coalesce(u.year_built, g.year_built), 0)) AS year_built,
+  coalesce(l.floor_count, round_even(coalesce(u.floor_count, g.floor_count), 0)) AS floor_count
+  FROM lookup l LEFT JOIN lookup_use u ON l.primary_use = u.primary_use LEFT JOIN lookup_all g ON true""",
+        "clean": """SELECT e.event_id, e.ts_hour, e.building_id, e.meter, e.timestamp, e.meter_reading, e.site_id, e.primary_use,
+  e.square_feet, coalesce(e.year_built, s.year_built) AS year_built, coalesce(e.floor_count, s.floor_count) AS floor_count, """
+        + ", ".join(f"coalesce(e.{c}, i.{c}) AS {c}" for c in WEATHER)
+        + """ FROM enriched e LEFT JOIN static_filled s ON e.building_id = s.building_id
+  LEFT JOIN interpolated i ON e.site_id = i.site_id AND e.ts_hour = i.ts_hour""",
+        "electric": "SELECT * FROM enriched WHERE meter = 0 AND meter_reading >= 0",
+        "e_spine": f"SELECT site_id, ts_hour, {_MAXES} FROM electric WHERE site_id IS NOT NULL GROUP BY 1, 2",
+        "e_all": f"SELECT {_MEDIANS} FROM e_spine WHERE ts_hour <= TIMESTAMP '{TRAIN_END}'",
+        "e_known": f"SELECT site_id, {_MEDIANS} FROM e_spine WHERE ts_hour <= TIMESTAMP '{TRAIN_END}' GROUP BY 1",
+        "e_site": "SELECT k.site_id, "
+        + ", ".join(f"coalesce(k.{c}, g.{c}) AS {c}" for c in WEATHER)
+        + " FROM e_known k LEFT JOIN e_all g ON true",
+        "e_filled": _carried_sql(),
+        "treated": "SELECT e.event_id, "
+        + ", ".join(f"e.{c}" for c in MERGED if c not in WEATHER)
+        + ", "
+        + ", ".join(
+            f"coalesce(f.{c}, e.{c}, g.{c}) AS {c}, coalesce(f.{c}_missing, CAST(e.{c} IS NULL AS INTEGER)) AS {c}_missing"
+            for c in WEATHER
+        )
+        + " FROM electric e LEFT JOIN e_filled f ON e.site_id = f.site_id AND e.ts_hour = f.ts_hour LEFT JOIN e_all g ON true",
+    }
+)

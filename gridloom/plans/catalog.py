@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from gridloom.plans import q_profile  # noqa: F401
+from gridloom.plans import q_features, q_profile  # noqa: F401
 from gridloom.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -59,7 +59,7 @@ def duplicate_keys(spark, sf):
 @query(
     "duplicate_rows",
     """SELECT CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-    FROM (SELECT count(*) AS n FROM (SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem) GROUP BY ALL)""",
+    FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus)""",
 )
 def duplicate_rows(spark, sf):
     df = b.table(spark, sf, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus")
@@ -326,10 +326,7 @@ def category_cardinality(spark, sf):
 def _overview_sql():
     shapes = {"customer": 5, "orders": 6, "lineitem": 11, "events": 6}
     return " UNION ALL ".join(
-        f"""SELECT '{t}' AS table_name, CAST(sum(n) AS BIGINT) AS row_count, {c} AS column_count,
-        CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM (SELECT count(*) AS n FROM (SELECT * FROM {t}) GROUP BY ALL)"""
-        if False
-        else f"""SELECT '{t}' AS table_name, count(*) AS row_count, {c} AS column_count,
+        f"""SELECT '{t}' AS table_name, count(*) AS row_count, {c} AS column_count,
         count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {t})) AS duplicate_rows FROM {t}"""
         for t, c in shapes.items()
     )
