@@ -65,8 +65,7 @@ def interpolate(spine: DataFrame, site: str, ts: str, columns: Sequence[str]) ->
     ahead = Window.partitionBy(site, chunk).orderBy(ts)
     back = Window.partitionBy(site, chunk).orderBy(F.col(ts).desc())
     ranked = cut.withColumn("_r", F.row_number().over(ahead).cast("long"))
-    for c in columns:
-        ranked = ranked.withColumn(f"_k_{c}", _known(F.col("_r"), c))
+    ranked = ranked.withColumns({f"_k_{c}": _known(F.col("_r"), c) for c in columns})
     marked = ranked.select(
         "*",
         *[F.last(f"_k_{c}", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_p_{c}") for c in columns],
