@@ -7,19 +7,20 @@ regressor), so it is saved, loaded and applied like any MLlib model.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from gridloom.functions.numeric import finite, from_log
-from gridloom.operators.features import assert_predictors, features_v1_columns
+from gridloom.operators.features import FORBIDDEN_V1, assert_predictors, features_v1_columns
 from gridloom.operators.scale import group_medians, lookup_join, with_position
 from gridloom.operators.validation import split_valid, validate_requests, warn_inputs
+from gridloom.session import materialize
 
 SEED = 42
 
@@ -84,35 +85,44 @@ class FeatureSpec:
     categorical: list[str]
     target: str
     log_target: bool = False
-    label: str = field(default="_label")
+    label: str = "_label"
+    forbidden: tuple[str, ...] = tuple(FORBIDDEN_V1)
 
     def __post_init__(self) -> None:
-        assert_predictors([*self.numeric, *self.categorical])
+        assert_predictors([*self.numeric, *self.categorical], self.forbidden)
 
 
-def _preprocess(train: DataFrame, spec: FeatureSpec) -> Pipeline:
-    numbers = fit_numeric(train, spec.numeric)
-    modes = most_frequent(train, spec.categorical)
-    parts = [f"{numbers.expression(c)} AS `{c}__z`" for c in spec.numeric]
-    for c in spec.categorical:
+def categorical_stages(train: DataFrame, columns: Sequence[str]) -> list:
+    """Most-frequent imputing and one-hot encoding; unseen categories become all zeros."""
+    modes = most_frequent(train, columns)
+    parts = []
+    for c in columns:
         quoted = modes[c].replace("\\", "\\\\").replace("'", "\\'")
         parts.append(f"coalesce(CAST(`{c}` AS STRING), '{quoted}') AS `{c}__s`")
-    prepare = SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
-    cats = spec.categorical
-    stages: list = [prepare]
-    if cats:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"{c}__s" for c in cats],
-                outputCols=[f"{c}__i" for c in cats],
-                handleInvalid="keep",
-                stringOrderType="alphabetAsc",
-            )
-        )
-        stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in cats], outputCols=[f"{c}__v" for c in cats], dropLast=True))
-    inputs = [f"{c}__z" for c in spec.numeric] + [f"{c}__v" for c in cats]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return Pipeline(stages=stages)
+    return [
+        SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__"),
+        StringIndexer(
+            inputCols=[f"{c}__s" for c in columns],
+            outputCols=[f"{c}__i" for c in columns],
+            handleInvalid="keep",
+            stringOrderType="alphabetAsc",
+        ),
+        OneHotEncoder(inputCols=[f"{c}__i" for c in columns], outputCols=[f"{c}__v" for c in columns], dropLast=True),
+    ]
+
+
+def numeric_stage(train: DataFrame, columns: Sequence[str]) -> SQLTransformer:
+    numbers = fit_numeric(train, columns)
+    parts = [f"{numbers.expression(c)} AS `{c}__z`" for c in columns]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+
+
+def _preprocess(train: DataFrame, spec: FeatureSpec) -> Pipeline:
+    stages = [numeric_stage(train, spec.numeric)]
+    if spec.categorical:
+        stages += categorical_stages(train, spec.categorical)
+    inputs = [f"{c}__z" for c in spec.numeric] + [f"{c}__v" for c in spec.categorical]
+    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features")])
 
 
 def estimator(kind: str, label: str, **options) -> Estimator:
@@ -201,7 +211,8 @@ def predict(model: PipelineModel, df: DataFrame, spec: FeatureSpec) -> DataFrame
 def feature_names(model: PipelineModel, spec: FeatureSpec) -> list[str]:
     names = list(spec.numeric)
     if spec.categorical:
-        for c, labels in zip(spec.categorical, model.stages[1].labelsArray):
+        indexer = next(s for s in model.stages if isinstance(s, StringIndexerModel))
+        for c, labels in zip(spec.categorical, indexer.labelsArray):
             names += [f"{c}={value}" for value in labels]
     return names
 
@@ -259,8 +270,12 @@ def permutation_importance(
 def score_batch(
     requests: DataFrame, json_column: str, model: PipelineModel, spec: FeatureSpec, profile: dict, version: str
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored valid requests, quarantined requests with errors)."""
-    good, bad = split_valid(validate_requests(requests, json_column))
+    """(scored valid requests, quarantined requests with errors).
+
+    The checked requests are written once: both outputs read them, and a
+    filter on the errors would otherwise be pushed down and parse them again.
+    """
+    good, bad = split_valid(materialize(validate_requests(requests, json_column), "requests"))
     warned = warn_inputs(good, profile)
     ready = warned.select("*", *[e.alias(n) for n, e in features_v1_columns().items() if n not in warned.columns])
     scored = predict(model, ready, spec)

@@ -137,27 +137,42 @@ def warn_inputs(df: DataFrame, profile: dict) -> DataFrame:
 
 def validate_features(
     df: DataFrame,
-    numeric: Sequence[str],
+    json_column: str,
+    ordered: Sequence[str],
     categorical: dict[str, Sequence[str]],
-    meter: str | None = None,
 ) -> DataFrame:
-    """Check prepared feature rows: finite or null numbers, non-blank categories,
-    no meter but electricity; unknown categories only warn. The set of columns
-    itself must match exactly."""
-    expected = [*numeric, *categorical]
-    found = [c for c in df.columns if c != meter and not c.startswith("_")]
-    if sorted(found) != sorted(expected):
-        raise ValueError(f"feature columns differ: {sorted(set(found) ^ set(expected))}")
-    kinds = dict(df.dtypes)
-    boolean = [c for c in numeric if kinds[c] == "boolean"]
-    if boolean:
-        raise ValueError(f"numeric features must not be boolean: {boolean}")
-    checks = []
-    for c in numeric:
-        number = F.col(c).cast("double")
-        checks.append((F.isnan(number) | (F.abs(number) == F.lit(float("inf"))), f"not_finite:{c}"))
-    checks += [(_no(F.length(F.trim(F.col(c))) > 0), f"blank:{c}") for c in categorical]
-    if meter and meter in df.columns:
-        checks.append((F.col(meter).isNotNull() & (F.col(meter) != 0), "meter_code"))
-    warnings = [(~F.trim(F.col(c)).isin(*known), f"unknown:{c}") for c, known in categorical.items()]
-    return df.withColumn("errors", _collect(checks)).withColumn("warnings", _collect(warnings))
+    """Check prepared feature requests ``{meter?, input_timestamp, features: {...}}``.
+
+    The features must be exactly the ordered columns; numbers may be null but
+    not boolean or text, categories must be non-blank text (unknown ones only
+    warn) and a meter, if given, must be electricity.
+    """
+    v = F.col("_v")
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
+
+    def text(path: str) -> Column:
+        return F.try_variant_get(v, path, "string")
+
+    names = F.json_object_keys(F.get_json_object(F.col(json_column), "$.features"))
+    staged = df.withColumn("_v", F.try_parse_json(F.col(json_column)))
+    staged = staged.withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
+    wanted = F.array(*[F.lit(c) for c in ordered])
+    same_set = F.array_sort("_names") == F.array_sort(wanted)
+    number = r"^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+    stamp = F.expr("try_cast(try_variant_get(_v, '$.input_timestamp', 'string') AS TIMESTAMP_NTZ)")
+    checks = [
+        (v.isNull(), "not_an_object"),
+        (~kind("$.meter").isin("ABSENT") & _no(text("$.meter") == "0"), "meter_code"),
+        (stamp.isNull(), "input_timestamp"),
+        (~same_set, "feature_set"),
+        (same_set & (F.col("_names") != wanted), "feature_order"),
+    ]
+    numeric = [c for c in ordered if c not in categorical]
+    checks += [(F.array_contains("_names", c) & ~kind(f"$.features.{c}").rlike(number), f"not_numeric:{c}") for c in numeric]
+    for c in categorical:
+        good = (kind(f"$.features.{c}") == "STRING") & (F.length(F.trim(text(f"$.features.{c}"))) > 0)
+        checks.append((F.array_contains("_names", c) & _no(good), f"category:{c}"))
+    warnings = [(~text(f"$.features.{c}").isin(*known), f"unknown:{c}") for c, known in categorical.items()]
+    return staged.withColumn("errors", _collect(checks)).withColumn("warnings", _collect(warnings)).drop("_v", "_names")

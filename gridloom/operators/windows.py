@@ -21,8 +21,8 @@ def latest_per_key(df: DataFrame, key: str, ts: str, n: int, tiebreak: str | Non
     return kept.withColumn("place", size - F.col("_rank") + 1).drop("_rank")
 
 
-def seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000)
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def history_quality(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
@@ -59,7 +59,7 @@ def recent_change(history: DataFrame, key: str, ts: str, value: str) -> DataFram
         F.row_number().over(newest).alias("_r"),
         F.col(value).alias("_v"),
         (F.col(value) - F.lag(value).over(order)).alias("_step"),
-        (seconds(ts) - F.lag(seconds(ts)).over(order)).alias("_gap"),
+        ((micros(ts) - F.lag(micros(ts)).over(order)) / F.lit(1_000_000)).alias("_gap"),
         F.col(ts).alias("_t"),
     )
     recent = F.col("_r") <= 3
