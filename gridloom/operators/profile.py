@@ -118,10 +118,13 @@ def describe_pct(df: DataFrame, column: str) -> DataFrame:
 
 
 def corrected_skewness(column: str) -> Column:
-    """Sample skewness; the built-in one is the population value. Null below three rows."""
+    """Sample skewness; the built-in one is the population value.
+
+    Null below three rows, zero for a constant column.
+    """
     n = F.count(column).cast("double")
     factor = F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
-    return F.when(n > 2, F.skewness(column) * factor)
+    return F.when(n > 2, F.coalesce(F.skewness(column) * factor, F.lit(0.0)))
 
 
 def target_summary(df: DataFrame, target: str) -> DataFrame:

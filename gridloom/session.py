@@ -35,7 +35,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
