@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.joins import insert_if_absent
 from gridloom.operators.scale import group_medians, has_key, lookup_join
+from gridloom.session import materialize
 
 # Scale of the median deviation and the bounds of the settings.
 MAD_SCALE = 1.4826
@@ -28,14 +29,16 @@ def mad_anomalies(
 
     A meter with no spread reports nothing. Medians are exact for meters of
     any size (see ``group_medians``) and meet the readings through a lookup
-    join, so a meter with most of the rows is not sent to one task.
+    join, so a meter with most of the rows is not sent to one task. The two
+    per-meter tables are written once, not computed again by the joins.
     """
     check_settings(threshold)
     known = df.where(F.col(value).isNotNull())
-    centers = group_medians(known, [key], [value], rows_in_task).select(key, F.col(value).cast("double").alias("expected_kwh"))
+    medians = group_medians(known, [key], [value], rows_in_task)
+    centers = materialize(medians.select(key, F.col(value).cast("double").alias("expected_kwh")), "centers")
     centered = lookup_join(known, centers, [key]).withColumn("_gap", F.abs(F.col(value) - F.col("expected_kwh")))
-    scales = group_medians(centered, [key], ["_gap"], rows_in_task)
-    scales = scales.select(key, (F.col("_gap") * MAD_SCALE).alias("_scale")).where("_scale > 0")
+    spreads = group_medians(centered, [key], ["_gap"], rows_in_task)
+    scales = materialize(spreads.select(key, (F.col("_gap") * MAD_SCALE).alias("_scale")).where("_scale > 0"), "scales")
     scored = lookup_join(centered, scales, [key], "inner").withColumn("score", F.col("_gap") / F.col("_scale"))
     center, actual = F.col("expected_kwh"), F.col(value)
     deviation = F.when(center == 0, 0.0).otherwise((actual - center) / F.abs(F.nullif(center, F.lit(0.0))) * 100)
@@ -56,7 +59,7 @@ def detect_and_store(
     history: DataFrame, stored: DataFrame, key: str, ts: str, value: str, threshold: float = 3.5
 ) -> tuple[DataFrame, DataFrame]:
     """(stored rows after the run, counts of records examined, detected and added)."""
-    found = mad_anomalies(history, key, ts, value, threshold).drop("score")
+    found = materialize(mad_anomalies(history, key, ts, value, threshold).drop("score"), "found")
     after = insert_if_absent(stored, found, [key, ts], [F.col("actual_kwh")])
     examined = history.agg(F.count(F.lit(1)).alias("n")).select(F.lit("examined").alias("measure"), "n")
     detected = found.agg(F.count(F.lit(1)).alias("n")).select(F.lit("detected").alias("measure"), "n")

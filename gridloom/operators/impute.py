@@ -47,7 +47,8 @@ def fit_weather(
     if unique.isEmpty():
         raise ValueError("no weather record lies in the training period")
     per_site = group_medians(unique, [site], columns)
-    return per_site.select(site, *[F.coalesce(F.col(c), F.lit(overall[c])).alias(c) for c in columns]), overall
+    fitted = per_site.select(site, *[F.coalesce(F.col(c), F.lit(overall[c])).alias(c) for c in columns])
+    return materialize(fitted, "site-medians"), overall
 
 
 def _known(rank: Column, c: str) -> Column:
@@ -71,11 +72,12 @@ def interpolate(spine: DataFrame, site: str, ts: str, columns: Sequence[str]) ->
         *[F.last(f"_k_{c}", ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_p_{c}") for c in columns],
         *[F.last(f"_k_{c}", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_n_{c}") for c in columns],
     )
-    months = ranked.groupBy(site, chunk).agg(
+    summary = ranked.groupBy(site, chunk).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.min(f"_k_{c}").alias(f"_first_{c}") for c in columns],
         *[F.max(f"_k_{c}").alias(f"_last_{c}") for c in columns],
     )
+    months = known_months = materialize(summary, "months")
     seq = Window.partitionBy(site).orderBy(chunk)
     before, after = seq.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(site).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
     months = months.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
@@ -105,7 +107,7 @@ def interpolate(spine: DataFrame, site: str, ts: str, columns: Sequence[str]) ->
         )
 
     done = joined.select(*[value(c).alias(c) if c in columns else F.col(c) for c in spine.columns])
-    silent = spine.groupBy(site).agg(*[(F.count(c) == 0).alias(c) for c in columns])
+    silent = known_months.groupBy(site).agg(*[(F.count(f"_first_{c}") == 0).alias(c) for c in columns])
     gaps = silent.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(c) for c in columns]).first().asDict()
     missing = [c for c, gap in gaps.items() if gap]
     if not missing:
@@ -134,9 +136,8 @@ def ffill_causal(
         *[F.col(c).isNull().cast("byte").alias(f"{c}_missing") for c in columns],
         *[F.last(c, ignorenulls=True).over(past).alias(f"_p_{c}") for c in columns],
     )
-    months = cut.groupBy(site, chunk).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_l_{c}") for c in columns]
-    )
+    last_of = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_l_{c}") for c in columns}
+    months = materialize(cut.groupBy(site, chunk).agg(*last_of.values()), "months")
     before = Window.partitionBy(site).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carried = months.select(
         site, chunk, *[F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_c_{c}") for c in columns]

@@ -111,10 +111,11 @@ def subgroup_metrics(df: DataFrame, y: str, p: str, dimensions: Sequence[str], t
 
     With ``tiebreak`` the target decile is added as a dimension.
     """
-    work = decile(df, y, tiebreak, "target_decile") if tiebreak else df
+    slim = df.select(*dict.fromkeys([*dimensions, y, p, *tiebreak]))
+    work = decile(slim, y, tiebreak, "target_decile") if tiebreak else slim
     names = [*dimensions, *(["target_decile"] if tiebreak else [])]
-    slim = work.select(*[F.col(c).cast("string").alias(c) for c in names], (F.col(p) - F.col(y)).alias("_gap"))
-    grouped = slim.groupingSets([[F.col(c)] for c in names], *names).agg(
+    tall = work.select(*[F.col(c).cast("string").alias(c) for c in names], (F.col(p) - F.col(y)).alias("_gap"))
+    grouped = tall.groupingSets([[F.col(c)] for c in names], *names).agg(
         *[F.grouping(c).alias(f"_g_{c}") for c in names],
         _count().alias("row_count"),
         F.sqrt(F.avg(F.col("_gap") * F.col("_gap"))).alias("rmse"),

@@ -173,9 +173,14 @@ def labelled(df: DataFrame, spec: FeatureSpec) -> DataFrame:
 def fit(kind: str, train: DataFrame, spec: FeatureSpec, validation: DataFrame | None = None, **options) -> PipelineModel:
     """Fit preprocessing on ``train`` and the regressor on the prepared rows.
 
-    Boosting stops early on ``validation`` when it is given.
+    ``train`` should be a written table: it is read several times. Learners
+    pass over the prepared rows again and again, so a table with fewer
+    partitions than cores is spread out first. Boosting stops early on
+    ``validation`` when it is given.
     """
     known = labelled(train.where(F.col(spec.target).isNotNull()), spec)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    spread = known.rdd.getNumPartitions() < cores
     prepare = _preprocess(known, spec).fit(known)
     keep = ["features", spec.label]
     ready = prepare.transform(known).select(*keep)
@@ -187,6 +192,8 @@ def fit(kind: str, train: DataFrame, spec: FeatureSpec, validation: DataFrame |
         held = prepare.transform(labelled(validation.where(F.col(spec.target).isNotNull()), spec)).select(*keep)
         ready = ready.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
         learner = learner.setValidationIndicatorCol("_held")
+    if spread:
+        ready = ready.repartition(cores)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = learner.fit(ready)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.numeric import pct
 from gridloom.operators.scale import group_medians, group_quantiles, lookup_join, running_sum
+from gridloom.session import materialize
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -35,34 +36,23 @@ def per_column(df: DataFrame, columns: Sequence[str], measures: dict, label: str
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct non-null values per column in one pass and one shuffle.
-
-    Rows become (column, value) pairs, which are combined before they move.
-    """
-
-    def text(c: str) -> Column:
-        kind = df.schema[c].dataType
-        value = F.col(c) + F.lit(0.0) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c)
-        return F.struct(F.lit(c).alias("column_name"), value.cast("string").alias("v"))
-
-    tall = df.select(F.explode(F.array(*[text(c) for c in columns])).alias("e")).select("e.*")
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
-    found = tall.where(F.col("v").isNotNull()).groupBy("column_name", "v").agg(F.lit(1).alias("one"))
-    counts = found.groupBy("column_name").agg(rows().alias("n"))
-    return names.join(counts, "column_name", "left").select("column_name", F.coalesce("n", F.lit(0)).alias("distinct_values"))
+    """Distinct non-null values per column in one pass; values are combined before they move."""
+    return per_column(df, columns, {"distinct_values": lambda c: F.count_distinct(c)})
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing count and share, distinct values (null counts as one) and type per column."""
-    columns = df.columns
-    nulls = per_column(
+    stats = per_column(
         df,
-        columns,
-        {"row_count": lambda c: F.count(F.lit(1)), "missing": lambda c: F.count_if(F.col(c).isNull())},
+        df.columns,
+        {
+            "row_count": lambda c: F.count(F.lit(1)),
+            "missing": lambda c: F.count_if(F.col(c).isNull()),
+            "distinct_values": lambda c: F.count_distinct(c),
+        },
     )
     types = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
-    joined = nulls.join(distinct_counts(df, columns), "column_name")
-    return joined.select(
+    return stats.select(
         "column_name",
         types[F.col("column_name")].alias("data_type"),
         "missing",
@@ -264,7 +254,7 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
 def box_summary(df: DataFrame, by: str, value: Column) -> DataFrame:
     """Quartiles and the outermost values within 1.5 quartile ranges, per group."""
     slim = df.select(by, value.alias("v")).where(F.col("v").isNotNull() & F.col(by).isNotNull())
-    quartiles = group_quantiles(slim, [by], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    quartiles = materialize(group_quantiles(slim, [by], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")
     joined = lookup_join(slim, quartiles, [by])
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)

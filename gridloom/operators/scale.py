@@ -19,7 +19,7 @@ from gridloom.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_FRACTION = 1 / 200
-GROUP_ROWS_IN_TASK = 2_000_000
+VALUES_IN_TASK = 5_000_000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -157,7 +157,7 @@ def group_quantiles(
     neighbours of each rank are picked, so no group has to fit a task.
     """
     by = list(by)
-    limit = GROUP_ROWS_IN_TASK if rows_in_task is None else rows_in_task
+    limit = VALUES_IN_TASK if rows_in_task is None else rows_in_task
     known = df.where(F.col(value).isNotNull()).select(*by, value)
     if largest_group(known, by) <= limit:
         picks = [F.percentile(value, F.lit(p)).alias(n) for n, p in quantiles.items()]
@@ -185,11 +185,12 @@ def group_quantiles(
 def group_medians(
     df: DataFrame, by: Sequence[str], columns: Sequence[str], rows_in_task: int | None = None
 ) -> DataFrame:
-    """Median of several columns per group; same size rule as ``group_quantiles``."""
+    """Median of several columns per group; same size rule as ``group_quantiles``,
+    counting the values of all columns, since one task would hold them together."""
     by = list(by)
-    limit = GROUP_ROWS_IN_TASK if rows_in_task is None else rows_in_task
+    limit = VALUES_IN_TASK if rows_in_task is None else rows_in_task
     slim = df.select(*by, *columns)
-    if largest_group(slim, by) <= limit:
+    if largest_group(slim, by) * len(columns) <= limit:
         picks = [F.median(c).alias(c) for c in columns]
         return slim.groupBy(*by).agg(*picks) if by else slim.agg(*picks)
     tall = slim.select(

@@ -40,51 +40,54 @@ def _collect(checks: Sequence[tuple[Column, str]]) -> Column:
 def validate_requests(df: DataFrame, json_column: str) -> DataFrame:
     """Parse JSON requests and list every broken rule in ``errors``.
 
-    Field kinds come from the JSON itself, so a boolean or a number given as
-    a category is told apart from its text. Parsed fields are added as columns.
+    Each request is parsed once, into its keys and value texts. Only the
+    category needs its JSON kind, since it must be text. Parsed fields are
+    added as columns.
     """
-    parsed = df.withColumn("_v", F.try_parse_json(F.col(json_column)))
-    keys = F.json_object_keys(F.col(json_column))
-    parsed = parsed.withColumn("_keys", F.coalesce(F.when(F.col("_v").isNotNull(), keys), F.array().cast("array<string>")))
+    numbers_of = INTEGER_FIELDS + NUMERIC_FIELDS
+    parsed = df.withColumn("_m", F.from_json(F.col(json_column), "map<string,string>"))
+    parsed = parsed.withColumn("_keys", F.coalesce(F.map_keys("_m"), F.array().cast("array<string>")))
 
     def text(name: str) -> Column:
-        return F.try_variant_get(F.col("_v"), f"$.{name}", "string")
-
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.col("_v"), f"$.{name}", "variant"))
+        return F.try_element_at(F.col("_m"), F.lit(name))
 
     def has(name: str) -> Column:
         return F.array_contains("_keys", name)
 
-    staged = parsed
-    for name in INTEGER_FIELDS + NUMERIC_FIELDS:
-        number = F.when(kind(name) != "BOOLEAN", F.expr(f"try_cast(try_variant_get(_v, '$.{name}', 'string') AS DOUBLE)"))
-        staged = staged.withColumn(f"_n_{name}", number)
+    use = F.try_variant_get(F.try_parse_json(F.col(json_column)), "$.primary_use", "variant")
     zoned = text("timestamp").rlike(ZONE_PATTERN) & text("timestamp").contains(":")
-    staged = (
-        staged.withColumn("_use", F.when(kind("primary_use") == "STRING", F.trim(text("primary_use"))))
-        .withColumn("_zoned", F.coalesce(zoned, F.lit(False)))
-        .withColumn("_time", F.expr("try_cast(try_variant_get(_v, '$.timestamp', 'string') AS TIMESTAMP_NTZ)"))
+    staged = parsed.withColumns(
+        {
+            **{f"_n_{c}": F.expr(f"try_cast(try_element_at(_m, '{c}') AS DOUBLE)") for c in numbers_of},
+            "_use": F.when(F.schema_of_variant(use) == "STRING", F.trim(text("primary_use"))),
+            "_zoned": F.coalesce(zoned, F.lit(False)),
+            "_time": F.expr("try_cast(try_element_at(_m, 'timestamp') AS TIMESTAMP_NTZ)"),
+        }
     )
 
     def n(name: str) -> Column:
         return F.col(f"_n_{name}")
 
+    def listed(names: Sequence[str]) -> Column:
+        return F.array(*[F.struct(F.lit(c).alias("f"), n(c).alias("v")) for c in names])
+
+    def broken(names: Sequence[str], code: str, test) -> Column:
+        found = F.filter(listed(names), lambda x: F.coalesce(test(x["f"], x["v"]), F.lit(False)))
+        return F.transform(found, lambda x: F.concat(F.lit(f"{code}:"), x["f"]))
+
+    def known(names: Sequence[str]) -> Column:
+        return F.array(*[F.lit(c) for c in names])
+
     infinite = F.lit(float("inf"))
-    checks: list[tuple[Column, str]] = [(F.col("_v").isNull(), "not_an_object")]
-    checks += [(~has(c), f"missing:{c}") for c in REQUEST_FIELDS]
-    checks.append((has(TARGET), "target_supplied"))
-    extra = F.size(F.array_except("_keys", F.array(*[F.lit(c) for c in [*REQUEST_FIELDS, TARGET]])))
-    checks.append((extra > 0, "unexpected_field"))
-    for c in INTEGER_FIELDS + NUMERIC_FIELDS:
-        checks.append((has(c) & n(c).isNull(), f"not_numeric:{c}"))
-        checks.append((F.isnan(n(c)) | (F.abs(n(c)) == infinite), f"not_finite:{c}"))
-    for c in INTEGER_FIELDS:
-        checks.append((~F.isnan(n(c)) & (F.abs(n(c)) < infinite) & (n(c) != F.floor(n(c))), f"not_integer:{c}"))
-    checks += [
+    missing = F.transform(F.array_except(known(REQUEST_FIELDS), F.col("_keys")), lambda c: F.concat(F.lit("missing:"), c))
+    extra = F.size(F.array_except(F.col("_keys"), known([*REQUEST_FIELDS, TARGET]))) > 0
+    single = [
+        (F.col("_m").isNull(), "not_an_object"),
+        (has(TARGET), "target_supplied"),
+        (extra, "unexpected_field"),
         (n("building_id") < 0, "negative:building_id"),
         (n("site_id") < 0, "negative:site_id"),
-        (~n("meter").isin(0.0, 1.0, 2.0, 3.0), "meter_code"),
+        (~F.isnan(n("meter")) & ~n("meter").isin(0.0, 1.0, 2.0, 3.0), "meter_code"),
         (n("square_feet") < 0, "negative:square_feet"),
         (~n("year_built").between(*YEAR_BUILT_RANGE), "year_built_range"),
         (n("floor_count") <= 0, "floor_count_range"),
@@ -94,18 +97,20 @@ def validate_requests(df: DataFrame, json_column: str) -> DataFrame:
         (has("timestamp") & ~F.col("_zoned") & F.col("_time").isNull(), "timestamp_invalid"),
         (~F.col("_zoned") & ~F.year("_time").between(*REQUEST_YEAR_RANGE), "timestamp_year"),
     ]
-    out = staged.withColumn("errors", _collect(checks))
-
-    def whole(c: str) -> Column:
-        return F.expr(f"try_cast(_n_{c} AS BIGINT)").alias(c)
-
-    return out.select(
+    errors = F.concat(
+        missing,
+        broken(numbers_of, "not_numeric", lambda f, v: v.isNull() & F.array_contains(F.col("_keys"), f)),
+        broken(numbers_of, "not_finite", lambda f, v: F.isnan(v) | (F.abs(v) == infinite)),
+        broken(INTEGER_FIELDS, "not_integer", lambda f, v: ~F.isnan(v) & (F.abs(v) < infinite) & (v != F.floor(v))),
+        _collect(single),
+    )
+    return staged.select(
         *df.columns,
-        *[whole(c) for c in INTEGER_FIELDS],
+        *[F.expr(f"try_cast(_n_{c} AS BIGINT)").alias(c) for c in INTEGER_FIELDS],
         *[n(c).alias(c) for c in NUMERIC_FIELDS],
         F.col("_use").alias("primary_use"),
         F.when(~F.col("_zoned"), F.col("_time")).alias("timestamp"),
-        "errors",
+        errors.alias("errors"),
     )
 
 

@@ -440,7 +440,7 @@ def target_decile(spark, sf):
 )
 def systematic_sample(spark, sf):
     df = b.scored(spark, sf).select("o_orderkey", "o_orderdate", "y")
-    return sm.systematic_sample(df, 700, [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "y")
+    return sm.systematic_sample(df, 700, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "y")
 
 
 @query(
@@ -451,4 +451,4 @@ def systematic_sample(spark, sf):
 )
 def even_subset(spark, sf):
     df = b.scored(spark, sf).select("o_orderkey", "o_orderdate")
-    return sm.even_subset(df, 500, [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey")
+    return sm.even_subset(df, 500, ["o_orderdate", "o_orderkey"]).select("o_orderkey")

@@ -139,6 +139,11 @@ def clipped_metrics(spark, sf):
     return _round_metrics(mt.clipped_metrics(b.scored(spark, sf), "y", "p"))
 
 
+def _untied(df, *columns):
+    """Small groups often have a mean that ends in a 5: move off the tie before rounding."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in columns})
+
+
 _LIMITS = f"""SELECT quantile_cont(y, 0.5) AS small_max, quantile_cont(y, 0.9) AS medium_max, quantile_cont(y, 0.99) AS large_max
   FROM (SELECT y, {_OSPLIT} AS split FROM scored) WHERE split = 'training'"""
 
@@ -169,14 +174,14 @@ _DIMS = ["o_orderpriority", "o_orderstatus", "month", "target_decile"]
     CAST(CAST(greatest(0, ceil((r - 1) * 10.0 / (n - 1)) - 1) AS INTEGER) AS VARCHAR) AS target_decile FROM (
     SELECT *, row_number() OVER (ORDER BY y, o_orderkey) AS r, count(*) OVER () AS n FROM scored)) """
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS dimension, {c} AS value, count(*) AS row_count, round(sqrt(avg((p - y) ** 2)), 4) AS rmse,
-        round(avg(abs(p - y)), 4) AS mae FROM d GROUP BY {c}"""
+        f"""SELECT '{c}' AS dimension, {c} AS value, count(*) AS row_count, round(sqrt(avg((p - y) ** 2)) + 1e-7, 4) AS rmse,
+        round(avg(abs(p - y)) + 1e-7, 4) AS mae FROM d GROUP BY {c}"""
         for c in _DIMS
     ),
 )
 def subgroup_metrics(spark, sf):
     df = b.scored(spark, sf).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    return _round_metrics(mt.subgroup_metrics(df, "y", "p", _DIMS[:3], ["o_orderkey"]))
+    return _untied(mt.subgroup_metrics(df, "y", "p", _DIMS[:3], ["o_orderkey"]), "rmse", "mae")
 
 
 _ZERO = "(SELECT *, greatest(0, y - 150000) AS z FROM scored)"
@@ -232,24 +237,19 @@ def residual_table(spark, sf):
     return floats(mt.residuals(b.scored(spark, sf), "y", "p").select("o_orderkey", "residual"))
 
 
-def _untied(df):
-    """Days hold few rows, so means often end in a 5: move off the tie before rounding."""
-    return df.withColumn("mae", F.round(F.col("mae") + 1e-8, 4))
-
-
 def _trend(grain):
-    return f"""SELECT CAST(date_trunc('{grain}', o_orderdate) AS TIMESTAMP) AS period, round(avg(abs(p - y)) + 1e-8, 4) AS mae,
+    return f"""SELECT CAST(date_trunc('{grain}', o_orderdate) AS TIMESTAMP) AS period, round(avg(abs(p - y)) + 1e-7, 4) AS mae,
     count(*) AS row_count FROM scored GROUP BY 1"""
 
 
 @query("error_trend", _trend("day"))
 def error_trend(spark, sf):
-    return _untied(mt.error_trend(b.scored(spark, sf), "o_orderdate", "y", "p", "day"))
+    return _untied(mt.error_trend(b.scored(spark, sf), "o_orderdate", "y", "p", "day"), "mae")
 
 
 @query("error_trend_month", _trend("month"))
 def error_trend_month(spark, sf):
-    return _untied(mt.error_trend(b.scored(spark, sf), "o_orderdate", "y", "p", "month"))
+    return _untied(mt.error_trend(b.scored(spark, sf), "o_orderdate", "y", "p", "month"), "mae")
 
 
 # Stand-in models over the same rows: name and prediction, in both notations.
@@ -344,7 +344,7 @@ def training_profile(spark, sf):
 )
 def subset_coverage(spark, sf):
     df = b.enriched(spark, sf).select("event_id", "timestamp", "meter", "primary_use", "building_id")
-    part = sm.even_subset(df, 400, [F.col("timestamp"), F.col("event_id")])
+    part = sm.even_subset(df, 400, ["timestamp", "event_id"])
     return qa.subset_coverage(df, part, ["meter", "primary_use", "building_id"])
 
 

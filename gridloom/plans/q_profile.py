@@ -192,9 +192,9 @@ def daily_profile(spark, sf):
     """WITH sparse AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS period, sum(o_totalprice) AS total,
       count(o_totalprice) AS row_count, avg(o_totalprice) AS mean FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 50 = 7
       GROUP BY 1),
-    spine AS (SELECT unnest(generate_series((SELECT min(period) FROM sparse), (SELECT max(period) FROM sparse), INTERVAL 1 DAY)) AS period)
+    day_list AS (SELECT unnest(generate_series((SELECT min(period) FROM sparse), (SELECT max(period) FROM sparse), INTERVAL 1 DAY)) AS period)
     SELECT s.period, round(total, 4) AS total, coalesce(row_count, 0) AS row_count, round(mean, 6) AS mean
-    FROM spine s LEFT JOIN sparse p ON s.period = p.period""",
+    FROM day_list s LEFT JOIN sparse p ON s.period = p.period""",
 )
 def daily_profile_filled(spark, sf):
     """Sparse series on purpose (one priority, a few customers) so that days are missing."""

@@ -70,13 +70,13 @@ def test_decile_like_pandas(spark, n):
 
 @pytest.mark.parametrize("n,limit", [(1000, 7), (1000, 999), (50, 50), (50, 80), (10, 1), (977, 100)])
 def test_even_subset_like_linspace(spark, n, limit):
-    got = sorted(r.id for r in sm.even_subset(spark.range(n), limit, [F.col("id")]).collect())
+    got = sorted(r.id for r in sm.even_subset(spark.range(n), limit, ["id"]).collect())
     want = list(range(n)) if n <= limit else sorted({int(i) for i in np.linspace(0, n - 1, limit, dtype=np.int64)})
     assert got == want
 
 
 def test_systematic_sample(spark):
-    got = sorted(r.id for r in sm.systematic_sample(spark.range(1003), 100, [F.col("id")]).collect())
+    got = sorted(r.id for r in sm.systematic_sample(spark.range(1003), 100, ["id"]).collect())
     assert got == list(range(0, 1003, 11))[:100]
 
 
