@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.windows import history_quality, latest_per_key, recent_change
 
+# Bounds of the settings.
 MAX_HORIZON = 24
+HISTORY_RANGE = (3, 5000)
 
 
-def _checked(horizon: int) -> int:
+def _check(horizon: int, records: int) -> None:
     if not isinstance(horizon, int) or isinstance(horizon, bool) or not 1 <= horizon <= MAX_HORIZON:
         raise ValueError("the horizon must be a whole number from 1 to 24")
-    return horizon
+    if not HISTORY_RANGE[0] <= records <= HISTORY_RANGE[1]:
+        raise ValueError("the history must have from 3 to 5000 records")
 
 
 def _later(base, secs):
@@ -36,7 +39,7 @@ def peak_outlook(
     Of equal forecasts the earliest step counts. Meters whose history cannot be
     used come out with a status and null forecasts.
     """
-    _checked(horizon)
+    _check(horizon, records)
     history = latest_per_key(df, key, ts, records, tiebreak)
     quality = history_quality(history, key, ts, value)
     change = recent_change(history, key, ts, value)
@@ -77,7 +80,7 @@ def forecast_steps(
     tiebreak: str | None = None,
 ) -> DataFrame:
     """Every forecast step of every meter with a usable history."""
-    _checked(horizon)
+    _check(horizon, records)
     history = latest_per_key(df, key, ts, records, tiebreak)
     usable = history_quality(history, key, ts, value).where("status = 'ok'").select(key)
     change = recent_change(history, key, ts, value).join(usable, key)

@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 from gridloom.functions.numeric import finite
 
 
+GROUP_LIMIT = 1000
+SALTS = 64
+
+
 def latest_per_key(df: DataFrame, key: str, ts: str, n: int, tiebreak: str | None = None) -> DataFrame:
     """Newest ``n`` rows of every key; ``place`` counts from the oldest kept row.
 
-    The rank filter is applied before the shuffle too, so a key with any
-    number of rows sends at most ``n`` per input task.
+    Spark applies a small rank limit before the shuffle too, so a key with any
+    number of rows sends at most ``n`` per input task. It does not for limits
+    above ``GROUP_LIMIT``; there the newest ``n`` of each salted part of a key
+    are taken first, which bounds what the final ranking of a key sees.
     """
     newest = [F.col(ts).desc()] + ([F.col(tiebreak).desc()] if tiebreak else [])
+    rows = df
+    if n > GROUP_LIMIT:
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(SALTS))
+        part = F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*newest))
+        rows = df.withColumn("_salt", salt).withColumn("_part", part).where(F.col("_part") <= n).drop("_part", "_salt")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*newest))
-    kept = df.withColumn("_rank", rank).where(F.col("_rank") <= n)
+    kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= n)
     size = F.count(F.lit(1)).over(Window.partitionBy(key))
     return kept.withColumn("place", size - F.col("_rank") + 1).drop("_rank")
 

@@ -88,3 +88,15 @@ def test_medians_of_groups_too_large_for_a_task(facts, by):
         return rows_of(d.select(*by, F.round("v", 6).alias("v"), F.round("u", 6).alias("u")))
 
     assert rounded(scale.group_medians(df, by, ["v", "u"])) == rounded(scale.group_medians(df, by, ["v", "u"], rows_in_task=0))
+
+
+@pytest.mark.parametrize("n", [5, 1500])
+def test_latest_rows_of_a_key(facts, n):
+    from gridloom.operators.windows import latest_per_key
+
+    got = {(r["k"], r["place"]): r["id"] for r in latest_per_key(facts, "k", "id", n).collect()}
+    groups = {}
+    for r in facts.collect():
+        groups.setdefault(r["k"], []).append(r["id"])
+    want = {(k, i + 1): x for k, ids in groups.items() for i, x in enumerate(sorted(ids)[-n:])}
+    assert got == want
