@@ -35,7 +35,7 @@ from gridloom.llm.textnum import DARK, LOWER, SpanHash, list_array, mix, slices,
 from gridloom.session import materialize
 
 WIDTH = 5
-TREES, BRANCHES, DEPTH, LEAF = 4, 2, 5, 400
+TREES, BRANCHES, DEPTH, LEAF = 4, 2, 5, 1000
 ORDERS = TREES * BRANCHES * DEPTH
 VOCABULARY = 1 << 15
 _SEED = np.random.default_rng(20)
