@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.chosen_path import near_duplicates
+from gridloom.llm.license_diagonals import license_scan
 from gridloom.llm.suffix_spans import remove_repeats
+from gridloom.llm.winnowing import contaminated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,13 @@ def chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_add("op10_two_stage_suffix_dedup")
 def two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@_add("op4_diagonal_license_scan")
+def diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+@_add("op5_winnowing_decontamination")
+def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

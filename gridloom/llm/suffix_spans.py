@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.sqltext import text_keys
 from gridloom.llm.textnum import SpanHash, slices
 from gridloom.session import materialize
 
@@ -259,7 +260,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(one, two, spans) of every text with repeated bytes; spans are byte ranges of repeated windows.
 
-    ``one`` and ``two`` are the text's hashes (``text_keys``), shared by copies.
+    ``one`` and ``two`` are the text's hashes (``sqltext.text_keys``), shared by copies.
     """
     known = docs.select("doc_id", "text", *text_keys())
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -319,10 +320,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return spans.groupBy("one", "two").agg(F.collect_set("s").alias("spans"))
 
 
-def text_keys() -> list:
-    return [F.xxhash64("text").alias("one"), F.xxhash64(F.lit(1), "text").alias("two")]
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
