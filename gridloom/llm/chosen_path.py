@@ -187,7 +187,7 @@ def _branches(nodes: DataFrame, level: int, trees: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), trees: int = TREES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, mark, kept) for every row of ``docs`` (doc_id, text).
 
     Documents are linked when share[1] * shared >= share[0] * union shingles.
     """
@@ -237,8 +237,19 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), trees:
     names = named.groupBy("root").agg(F.min("first_id").alias("component"))
     named = roots.join(names, "root").select(F.col("vertex").alias("key"), "component")
     by_key = classes.select("key", "first_id").join(named, "key", "left").select("key", F.coalesce("component", "first_id").alias("component"))
-    whole = sketch.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    whole = sketch.select("doc_id", "n_shingles", "key", "mark").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return whole.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return whole.select("doc_id", "n_shingles", component.alias("component_id"), "mark").withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, share: tuple[int, int] = (85, 100)) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document of each component; of repeated rows one stays."""
+    kept = near_duplicates(docs, share).where("kept").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(kept.withColumnsRenamed({"doc_id": "d", "mark": "m"}), "kept")
+    mark = F.xxhash64("text")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["d"]) & (mark == kept["m"]), "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return rows
+    return rows.withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")

@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.block_labeller import extract
 from gridloom.llm.chosen_path import near_duplicates
+from gridloom.llm.importance import classify
 from gridloom.llm.license_diagonals import license_scan
+from gridloom.llm.packing import pack
+from gridloom.llm.robust_outliers import robust_quality
+from gridloom.llm.secret_scan import secret_spans
 from gridloom.llm.suffix_spans import remove_repeats
+from gridloom.llm.token_rollup import corpus_rollup
 from gridloom.llm.winnowing import contaminated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,14 +35,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@_add("op6_chosen_path_near_dedup")
-def chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+@_add("op1_importance_resampling")
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-@_add("op10_two_stage_suffix_dedup")
-def two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+@_add("op2_structural_secret_scan")
+def structural_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(_table(spark, sf_dir, "documents"))
+
+
+@_add("op3_delta_token_rollup")
+def delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_rollup(_table(spark, sf_dir, "documents"))
 
 
 @_add("op4_diagonal_license_scan")
@@ -44,6 +55,55 @@ def diagonal_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-@_add("op5_winnowing_decontamination")
+WINNOWING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+found AS (SELECT p.doc_id, p.m, p.i, q.item_id FROM places p JOIN windows q ON p.x = q.x AND p.m = q.m),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id),
+which AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN which USING (doc_id)
+"""
+
+
+@_add("op5_winnowing_decontamination", WINNOWING_SQL)
 def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("one", "two")
+
+
+@_add("op6_chosen_path_near_dedup")
+def chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).drop("mark")
+
+
+@_add("op7_recurrent_block_labeller")
+def recurrent_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+@_add("op8_grouping_genetic_packing")
+def grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+@_add("op9_robust_outlier_rules")
+def robust_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_quality(_table(spark, sf_dir, "documents"))
+
+
+@_add("op10_two_stage_suffix_dedup")
+def two_stage_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")

@@ -56,7 +56,7 @@ def _window_hashes(start: Column, length: Column) -> list[Column]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
+    """(doc_id, one, two, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text", *text_keys())
     items = _prepared(benchmark.select("item_id", "text")).withColumn("n", F.size("words")).where("n > 0")
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))).alias("start")
@@ -95,6 +95,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     listed = F.coalesce("ids", F.array().cast("array<string>"))
     return read.join(told, ["one", "two"], "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        "doc_id", "one", "two", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows of ``docs``, all columns, that are not contaminated."""
+    bad = contaminated(docs, benchmark).where("contaminated").select(F.col("one").alias("_one"), F.col("two").alias("_two")).distinct()
+    bad = materialize(bad, "contaminated")
+    one, two = text_keys()
+    return docs.join(bad, (one == bad["_one"]) & (two == bad["_two"]), "left_anti")
