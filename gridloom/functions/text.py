@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ def email_like(text: Column) -> Column:
     return text.rlike(EMAIL_PATTERN)
 
 
-def redact_parameter(text: Column, parameter: str) -> Column:
-    """Hide the value of one query parameter wherever it occurs in the text."""
-    return F.regexp_replace(text, rf"(?i)([?&]{parameter}=)[^&\s]+", "$1[REDACTED]")
+def redact_parameter(text: Column, *parameters: str) -> Column:
+    """Hide the values of query parameters, whatever separates them, up to the next separator, fragment or space."""
+    names = "|".join(re.escape(p) for p in parameters)
+    return F.regexp_replace(text, rf"(?i)([?&;])({names})=[^&;#\s]*", "$1$2=[REDACTED]")

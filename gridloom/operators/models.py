@@ -173,20 +173,26 @@ def labelled(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumn(spec.label, F.log1p(target) if spec.log_target else target)
 
 
-def fit(kind: str, train: DataFrame, spec: FeatureSpec, validation: DataFrame | None = None, **options) -> PipelineModel:
+#: Tasks of every pass of a learner.
+FIT_PARTITIONS = 32
+
+
+def fit(kind: str, train: DataFrame, spec: FeatureSpec, validation: DataFrame | None = None, partitions: int = FIT_PARTITIONS, **options) -> PipelineModel:
     """Fit preprocessing on ``train`` and the regressor on the prepared rows.
 
-    ``train`` should be a written table: it is read several times. Learners
-    pass over the prepared rows again and again, so a table with fewer
-    partitions than cores is spread out first. Boosting stops early on
+    ``train`` should be a written table: it is read several times. Sampling
+    inside a learner follows the layout of its rows, so these are always dealt
+    to ``partitions`` by a hash of the row and put in its order: the same
+    rows and seed give the same model on any cluster. Boosting stops early on
     ``validation`` when it is given.
     """
     known = labelled(train.where(F.col(spec.target).isNotNull()), spec)
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    spread = known.rdd.getNumPartitions() < cores
     prepare = _preprocess(known, spec).fit(known)
     keep = ["features", spec.label]
-    ready = prepare.transform(known).select(*keep)
+    plain = [f.name for f in known.schema if f.dataType.typeName() not in ("map", "variant")]
+    dealt = known.withColumn("_row", F.xxhash64(*[F.col(c) for c in plain]))
+    dealt = dealt.repartition(partitions, "_row").sortWithinPartitions("_row")
+    ready = prepare.transform(dealt).select(*keep)
     if kind == "ridge":
         learner = ridge_estimator(known, spec.label, **options)
     else:
@@ -195,8 +201,6 @@ def fit(kind: str, train: DataFrame, spec: FeatureSpec, validation: DataFrame |
         held = prepare.transform(labelled(validation.where(F.col(spec.target).isNotNull()), spec)).select(*keep)
         ready = ready.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
         learner = learner.setValidationIndicatorCol("_held")
-    if spread:
-        ready = ready.repartition(cores)
     ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = learner.fit(ready)

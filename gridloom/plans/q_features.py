@@ -390,7 +390,7 @@ def email_pattern(spark, sf):
 
 @query(
     "redact_url_secret",
-    r"SELECT page_id, regexp_replace(url, '([?&]page=)[^&\s]+', '\1[REDACTED]', 'gi') AS url FROM pages",
+    r"SELECT page_id, regexp_replace(url, '([?&;])(page)=[^&;#\s]*', '\1\2=[REDACTED]', 'gi') AS url FROM pages",
 )
 def redact_url_secret(spark, sf):
     return b.table(spark, sf, "pages", "page_id", "url").select("page_id", tx.redact_parameter(F.col("url"), "page").alias("url"))

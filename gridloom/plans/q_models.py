@@ -353,7 +353,7 @@ _MODEL_NUMERIC = [
     "year_built",
     "floor_count",
     *b.WEATHER,
-    *[n for n, *_ in ft.V1_SPEC],
+    *ft.V1_FEATURES,
 ]
 
 

@@ -1,17 +1,14 @@
-"""Sinks. Output is written by Spark's commit protocol: a failed job leaves no table."""
+"""Sinks. Output is written aside and swapped in, so a failed overwrite keeps the old table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _mode(overwrite: bool) -> str:
-    return "overwrite" if overwrite else "errorifexists"
-
-
 def _not_own_input(df: DataFrame, path: str) -> None:
     target = path.rstrip("/")
     sources = {f.split(":", 1)[-1].lstrip("/") for f in df.inputFiles()}
@@ -19,12 +16,33 @@ def _not_own_input(df: DataFrame, path: str) -> None:
         raise ValueError("the output path is one of the inputs")
 
 
+def _store(df: DataFrame, path: str, overwrite: bool, write: Callable[[str], None]) -> None:
+    """Run ``write`` on ``path``, or with ``overwrite`` beside it and swap by renaming; the old output goes last."""
+    if not overwrite:
+        write(path)
+        return
+    _not_own_input(df, path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target, tag = path.rstrip("/"), uuid.uuid4().hex
+    new, old = place(f"{target}.new-{tag}"), place(f"{target}.old-{tag}")
+    files = new.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new.toString())
+        if files.exists(place(target)) and not files.rename(place(target), old):
+            raise OSError(f"{target} can't be moved aside")
+        if not files.rename(new, place(target)):
+            files.rename(old, place(target))
+            raise OSError(f"{target} can't be replaced")
+    finally:
+        files.delete(new, True)
+    files.delete(old, True)
+
+
 def write_table(df: DataFrame, path: str, overwrite: bool = False, sort: Sequence[str] = ()) -> None:
     """Snappy Parquet. Refuses an existing output unless told to replace it, and its own input."""
-    if overwrite:
-        _not_own_input(df, path)
     out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.mode(_mode(overwrite)).option("compression", "snappy").parquet(path)
+    _store(df, path, overwrite, out.write.option("compression", "snappy").parquet)
 
 
 def write_partitioned(df: DataFrame, path: str, site: str, ts: str, overwrite: bool = False, files: int | None = None) -> None:
@@ -38,19 +56,19 @@ def write_partitioned(df: DataFrame, path: str, site: str, ts: str, overwrite: b
     if files:
         spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
         marked = marked.repartition(site, "month", spread)
-    marked.write.mode(_mode(overwrite)).partitionBy(site, "month").option("compression", "snappy").parquet(path)
+    _store(df, path, overwrite, marked.write.partitionBy(site, "month").option("compression", "snappy").parquet)
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode(_mode(overwrite)).option("header", True).csv(path)
+    _store(df, path, overwrite, df.write.option("header", True).csv)
 
 
 def export_report(df: DataFrame, path: str, columns: dict[str, Column], overwrite: bool = False) -> None:
     """Report export: a fixed column list, nulls as empty fields, a header line."""
     text = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in columns.items()]
-    df.select(*text).write.mode(_mode(overwrite)).option("header", True).option("emptyValue", "").csv(path)
+    _store(df, path, overwrite, df.select(*text).write.option("header", True).option("emptyValue", "").csv)
 
 
 def write_stats(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Audit figures as JSON lines; nulls are written out."""
-    df.write.mode(_mode(overwrite)).option("ignoreNullFields", "false").json(path)
+    _store(df, path, overwrite, df.write.option("ignoreNullFields", "false").json)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import redact_parameter
 from gridloom.operators import models as ml
 from gridloom.session import scratch_path
 from gridloom.sources import readers, writers
@@ -202,3 +203,28 @@ def test_scratch_follows_the_cluster_setting():
     assert scratch_path(on_cluster, "x").startswith("hdfs:///shared/gridloom-")
     with pytest.raises(RuntimeError):
         scratch_path(_fake_session("app-2", "yarn"), "x")
+
+
+def test_failed_overwrite_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    writers.write_table(spark.range(5), path)
+    broken = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        writers.write_table(broken, path, overwrite=True)
+    assert spark.read.parquet(path).count() == 5
+    writers.write_table(spark.range(2), path, overwrite=True)
+    assert spark.read.parquet(path).count() == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["kept"]
+
+
+def test_nan_text_is_missing(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("building_id,meter,timestamp,meter_reading\n1,0,2016-01-01 00:00:00,NaN\n1,0,2016-01-01 01:00:00,2.5\n")
+    got = readers.read_readings(spark, str(tmp_path / "r.csv"))
+    assert got.agg(F.max("meter_reading")).first()[0] == 2.5
+
+
+def test_redaction_escapes_and_knows_all_separators(spark):
+    row = spark.createDataFrame([("http://x/?a.b=1;key=2&aXb=3&KEY=4#top key=5",)], "u string")
+    assert row.select(redact_parameter(F.col("u"), "a.b", "key")).first()[0] == (
+        "http://x/?a.b=[REDACTED];key=[REDACTED]&aXb=3&KEY=[REDACTED]#top key=5"
+    )
