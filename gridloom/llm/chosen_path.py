@@ -35,9 +35,9 @@ from gridloom.llm.textnum import DARK, LOWER, SpanHash, list_array, mix, slices,
 from gridloom.session import materialize
 
 WIDTH = 5
-TREES, BRANCHES, DEPTH, LEAF = 4, 2, 5, 1000
+TREES, BRANCHES, DEPTH, LEAF = 4, 2, 5, 2000
 ORDERS = TREES * BRANCHES * DEPTH
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 14
 _SEED = np.random.default_rng(20)
 _WORD = _SEED.integers(1, 1 << 63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDER = _SEED.integers(1, 1 << 63, ORDERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,17 +200,17 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), trees:
     small, nodes = [], _branches(classes, 0, trees)
     for level in range(DEPTH):
         nodes = materialize(nodes, "nodes")
-        sizes = materialize(
-            nodes.groupBy("node").agg(
-                F.count(F.lit(1)).alias("n"), F.min("tree").alias("tree"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")
-            ).where("n > 1"),
-            "sizes",
+        sizes = nodes.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("tree").alias("tree"), F.bit_xor(F.xxhash64("key")).alias("who")
         )
+        sizes = materialize(sizes.where("n > 1"), "sizes")
         # equal members meet in many nodes; one of these is compared
-        few = sizes.where(F.col("n") <= LEAF).groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
-        small.append(nodes.join(few, "node").select("node", "key"))
+        few = sizes.where(F.col("n") <= LEAF).groupBy("n", "who").agg(F.min("node").alias("node")).select("node", "n")
         many = sizes.where(F.col("n") > LEAF).select("node", "n")
-        large = None if many.isEmpty() else nodes.join(many, "node")
+        members = materialize(nodes.join(materialize(few.unionByName(many), "told"), "node"), "members")
+        small.append(members.where(F.col("n") <= LEAF).select("node", "key"))
+        large = members.where(F.col("n") > LEAF)
+        large = None if large.isEmpty() else large
         if large is None:
             break
         if level + 1 < DEPTH:
