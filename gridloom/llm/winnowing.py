@@ -74,8 +74,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = read.select("one", "two", F.explode("prints").alias("print")).join(prints, "print")
     hit = materialize(hit.groupBy("one", "two").agg(F.collect_set("print").alias("hits")), "hit")
 
-    near = _prepared(docs.select("text", F.col("one").alias("o"), F.col("two").alias("t")))
-    near = near.join(hit, (F.col("o") == hit["one"]) & (F.col("t") == hit["two"])).select("one", "two", "words", "prints", "hits")
+    # joined before it is cut into words: only texts with a hit are prepared again
+    near = docs.select("text", F.col("one").alias("o"), F.col("two").alias("t"))
+    near = near.join(hit, (F.col("o") == hit["one"]) & (F.col("t") == hit["two"])).select("one", "two", "text", "hits")
+    near = _prepared(near).select("one", "two", "words", "prints", "hits")
     at = F.filter(F.sequence(F.lit(0), F.size("prints") - 1), lambda i: F.array_contains("hits", F.get(F.col("prints"), i)))
     near = near.select("one", "two", "words", F.explode(at).alias("start"))
     found = near.select("one", "two", "start", F.lit(WINDOW).alias("length"), *_window_hashes(F.col("start"), F.lit(WINDOW)))
