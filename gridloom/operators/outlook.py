@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.windows import history_quality, latest_per_key, recent_change
+from gridloom.operators.windows import history_summary, latest_per_key
 
 # Bounds of the settings.
 MAX_HORIZON = 24
@@ -41,12 +41,7 @@ def peak_outlook(
     """
     _check(horizon, records)
     history = latest_per_key(df, key, ts, records, tiebreak)
-    quality = history_quality(history, key, ts, value)
-    change = recent_change(history, key, ts, value)
-    shape = history.groupBy(key).agg(
-        F.median(value).alias("baseline_kwh"), F.sort_array(F.collect_list(value)).alias("_sorted")
-    )
-    joined = quality.join(change, key).join(shape, key)
+    joined = history_summary(history, key, ts, value)
     good = F.col("status") == "ok"
     ahead = F.transform(
         F.sequence(F.lit(1), F.lit(horizon)),
@@ -54,9 +49,9 @@ def peak_outlook(
     )
     forecast = F.array_max(ahead)
     step = F.array_position(ahead, forecast)
-    size = F.size("_sorted")
+    size = F.size("sorted_values")
     cut = F.least(size - 1, F.floor(F.lit(0.9) * size).cast("int"))
-    threshold = F.element_at("_sorted", cut + 1)
+    threshold = F.element_at("sorted_values", cut + 1)
     return joined.select(
         key,
         "status",
@@ -65,7 +60,7 @@ def peak_outlook(
         F.when(good, _later(F.col("last_time"), F.col("interval_seconds") * step)).alias("peak_timestamp"),
         F.when(good, threshold).alias("peak_threshold_kwh"),
         F.when(good, forecast >= threshold).alias("is_peak_likely"),
-        F.when(good, F.col("baseline_kwh")).alias("baseline_kwh"),
+        F.when(good, F.col("median")).alias("baseline_kwh"),
         F.lit(horizon).alias("horizon_records"),
     )
 
@@ -82,9 +77,8 @@ def forecast_steps(
     """Every forecast step of every meter with a usable history."""
     _check(horizon, records)
     history = latest_per_key(df, key, ts, records, tiebreak)
-    usable = history_quality(history, key, ts, value).where("status = 'ok'").select(key)
-    change = recent_change(history, key, ts, value).join(usable, key)
-    steps = change.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    usable = history_summary(history, key, ts, value).where("status = 'ok'")
+    steps = usable.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return steps.select(
         key,
         "step",

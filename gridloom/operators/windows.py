@@ -36,47 +36,71 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def history_quality(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Status per meter: ok, too_few, bad_value or bad_time (first that applies).
-
-    ``history`` is the bounded latest-N history.
-    """
-    before = F.lag(ts).over(Window.partitionBy(key).orderBy(ts))
-    stepped = history.withColumn("_before", before)
-    bad_value = ~F.coalesce(finite(F.col(value)) & (F.col(value) >= 0), F.lit(False))
-    counts = stepped.groupBy(key).agg(
-        F.count(F.lit(1)).alias("history_records"),
-        F.count_if(bad_value).alias("bad_values"),
-        F.count_if(F.col(ts).isNull() | (F.col("_before") >= F.col(ts))).alias("bad_times"),
-    )
-    status = (
-        F.when(F.col("history_records") < 3, "too_few")
-        .when(F.col("bad_values") > 0, "bad_value")
-        .when(F.col("bad_times") > 0, "bad_time")
-        .otherwise("ok")
-    )
-    return counts.withColumn("status", status)
-
-
-def recent_change(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Mean change of the last (up to four) readings and median of the last intervals.
-
-    The mean of successive differences telescopes to (last - first) / steps.
-    """
+def _stepped(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Every kept reading with its place from the newest and its step from the one before."""
     order = Window.partitionBy(key).orderBy(ts)
     newest = Window.partitionBy(key).orderBy(F.col(ts).desc())
-    stepped = history.select(
+    return history.select(
         key,
         F.row_number().over(newest).alias("_r"),
         F.col(value).alias("_v"),
         (F.col(value) - F.lag(value).over(order)).alias("_step"),
         ((micros(ts) - F.lag(micros(ts)).over(order)) / F.lit(1_000_000)).alias("_gap"),
         F.col(ts).alias("_t"),
+        F.lag(ts).over(order).alias("_before"),
     )
+
+
+def _quality() -> list[Column]:
+    bad_value = ~F.coalesce(finite(F.col("_v")) & (F.col("_v") >= 0), F.lit(False))
+    return [
+        F.count(F.lit(1)).alias("history_records"),
+        F.count_if(bad_value).alias("bad_values"),
+        F.count_if(F.col("_t").isNull() | (F.col("_before") >= F.col("_t"))).alias("bad_times"),
+    ]
+
+
+def _change() -> list[Column]:
     recent = F.col("_r") <= 3
-    return stepped.groupBy(key).agg(
+    return [
         F.avg(F.when(recent, F.col("_step"))).alias("average_change"),
         F.median(F.when(recent, F.col("_gap"))).alias("interval_seconds"),
         F.max(F.when(F.col("_r") == 1, F.col("_v"))).alias("last_value"),
         F.max("_t").alias("last_time"),
+    ]
+
+
+def _status() -> Column:
+    return (
+        F.when(F.col("history_records") < 3, "too_few")
+        .when(F.col("bad_values") > 0, "bad_value")
+        .when(F.col("bad_times") > 0, "bad_time")
+        .otherwise("ok")
     )
+
+
+def history_quality(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Status per meter: ok, too_few, bad_value or bad_time (first that applies).
+
+    ``history`` is the bounded latest-N history.
+    """
+    return _stepped(history, key, ts, value).groupBy(key).agg(*_quality()).withColumn("status", _status())
+
+
+def recent_change(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """Mean change of the last (up to four) readings and median of the last intervals.
+
+    The mean of successive differences telescopes to (last - first) / steps.
+    """
+    return _stepped(history, key, ts, value).groupBy(key).agg(*_change())
+
+
+def history_summary(history: DataFrame, key: str, ts: str, value: str) -> DataFrame:
+    """``history_quality`` and ``recent_change`` with the median and the sorted values.
+
+    One grouping on the partitioning that ``latest_per_key`` left, so that the
+    history is read and shuffled once. A row holds one meter's bounded history.
+    """
+    shape = [F.median("_v").alias("median"), F.sort_array(F.collect_list("_v")).alias("sorted_values")]
+    grouped = _stepped(history, key, ts, value).groupBy(key).agg(*_quality(), *_change(), *shape)
+    return grouped.withColumn("status", _status())
