@@ -19,12 +19,17 @@ def meter_label(code: Column) -> Column:
     return label
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+\z", "")
+
+
 def normalize_email(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(strip(text))
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))
 
 
 def local_part(email: Column) -> Column:

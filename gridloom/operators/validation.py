@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import strip
+
 # The request fields and the limits they must keep.
 INTEGER_FIELDS = ["building_id", "meter", "site_id"]
 NUMERIC_FIELDS = [
@@ -25,7 +27,13 @@ REQUEST_FIELDS = [*INTEGER_FIELDS, *NUMERIC_FIELDS, "primary_use", "timestamp"]
 TARGET = "meter_reading"
 YEAR_BUILT_RANGE = (1800, 2016)
 REQUEST_YEAR_RANGE = (1900, 2100)
-ZONE_PATTERN = r"(Z|z|[+-]\d{2}:?\d{2}|[+-]\d{2})$"
+
+_TIME = r"[T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,9})?)?)?"
+#: A whole date or date-time without a zone; one followed by an offset, Z or a zone's name.
+NAIVE_PATTERN = rf"^\s*\d{{4}}-\d{{2}}-\d{{2}}({_TIME})?\s*$"
+ZONED_PATTERN = rf"^\s*\d{{4}}-\d{{2}}-\d{{2}}{_TIME}\s*[A-Za-z+-]"
+#: What a number may look like as text; a cast alone would also take a suffix such as 5d.
+NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
 
 
 def _no(test: Column) -> Column:
@@ -55,13 +63,14 @@ def validate_requests(df: DataFrame, json_column: str) -> DataFrame:
         return F.array_contains("_keys", name)
 
     use = F.try_variant_get(F.try_parse_json(F.col(json_column)), "$.primary_use", "variant")
-    zoned = text("timestamp").rlike(ZONE_PATTERN) & text("timestamp").contains(":")
+    zoned = text("timestamp").rlike(ZONED_PATTERN)
+    naive = F.when(text("timestamp").rlike(NAIVE_PATTERN), F.trim(text("timestamp")))
     staged = parsed.withColumns(
         {
-            **{f"_n_{c}": F.expr(f"try_cast(try_element_at(_m, '{c}') AS DOUBLE)") for c in numbers_of},
-            "_use": F.when(F.schema_of_variant(use) == "STRING", F.trim(text("primary_use"))),
+            **{f"_n_{c}": F.when(text(c).rlike(NUMBER_PATTERN), text(c)).try_cast("double") for c in numbers_of},
+            "_use": F.when(F.schema_of_variant(use) == "STRING", strip(text("primary_use"))),
             "_zoned": F.coalesce(zoned, F.lit(False)),
-            "_time": F.expr("try_cast(try_element_at(_m, 'timestamp') AS TIMESTAMP_NTZ)"),
+            "_time": naive.try_cast("timestamp_ntz"),
         }
     )
 
@@ -149,8 +158,8 @@ def validate_features(
     """Check prepared feature requests ``{meter?, input_timestamp, features: {...}}``.
 
     The features must be exactly the ordered columns; numbers may be null but
-    not boolean or text, categories must be non-blank text (unknown ones only
-    warn) and a meter, if given, must be electricity.
+    not boolean, text or infinite, categories must be non-blank text (unknown
+    ones only warn) and a meter, if given, must be electricity's number.
     """
     v = F.col("_v")
 
@@ -160,6 +169,12 @@ def validate_features(
     def text(path: str) -> Column:
         return F.try_variant_get(v, path, "string")
 
+    def real(path: str) -> Column:
+        return F.try_variant_get(v, path, "double")
+
+    def unusable(path: str) -> Column:
+        return ~kind(path).rlike(number) | F.coalesce(F.abs(real(path)) == float("inf"), F.lit(False))
+
     names = F.json_object_keys(F.get_json_object(F.col(json_column), "$.features"))
     staged = df.withColumn("_v", F.try_parse_json(F.col(json_column)))
     staged = staged.withColumn("_names", F.coalesce(names, F.array().cast("array<string>")))
@@ -169,15 +184,15 @@ def validate_features(
     stamp = F.expr("try_cast(try_variant_get(_v, '$.input_timestamp', 'string') AS TIMESTAMP_NTZ)")
     checks = [
         (v.isNull(), "not_an_object"),
-        (~kind("$.meter").isin("ABSENT") & _no(text("$.meter") == "0"), "meter_code"),
+        ((kind("$.meter") != "ABSENT") & _no(kind("$.meter").rlike(number) & (real("$.meter") == 0)), "meter_code"),
         (stamp.isNull(), "input_timestamp"),
         (~same_set, "feature_set"),
         (same_set & (F.col("_names") != wanted), "feature_order"),
     ]
     numeric = [c for c in ordered if c not in categorical]
-    checks += [(F.array_contains("_names", c) & ~kind(f"$.features.{c}").rlike(number), f"not_numeric:{c}") for c in numeric]
+    checks += [(F.array_contains("_names", c) & unusable(f"$.features.{c}"), f"not_numeric:{c}") for c in numeric]
     for c in categorical:
-        good = (kind(f"$.features.{c}") == "STRING") & (F.length(F.trim(text(f"$.features.{c}"))) > 0)
+        good = (kind(f"$.features.{c}") == "STRING") & (F.length(strip(text(f"$.features.{c}"))) > 0)
         checks.append((F.array_contains("_names", c) & _no(good), f"category:{c}"))
     warnings = [(~text(f"$.features.{c}").isin(*known), f"unknown:{c}") for c, known in categorical.items()]
     return staged.withColumn("errors", _collect(checks)).withColumn("warnings", _collect(warnings)).drop("_v", "_names")
