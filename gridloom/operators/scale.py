@@ -1,6 +1,6 @@
 """Building blocks that keep their plan when one key holds most of the rows.
 
-* ``lookup_join``      many-to-one join, broadcast only after measuring the lookup
+* ``lookup_join``      many-to-one join in one pass, hot keys cut by bytes
 * ``with_position``    exact global row position without a single-task window
 * ``running_sum``      exact global running sum over a total order
 * ``group_quantiles``  exact quantiles per group, also for groups of any size
@@ -13,32 +13,12 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.session import materialize
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_FRACTION = 1 / 200
 VALUES_IN_TASK = 5_000_000
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of ``df`` when held in memory, counted exactly (one aggregate)."""
-    variable = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    fixed = 16 + 8 * len(df.columns)
-    text = [F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)) for c in variable]
-    deep = [F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(F.col(c))))), F.lit(0)) for c in nested]
-    total = F.count(F.lit(1)) * F.lit(fixed)
-    for part in text + deep:
-        total = total + part
-    return int(df.agg(total.alias("b")).first()["b"])
-
-
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
-    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -48,44 +28,21 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` to a lookup that has at most one row per key.
 
-    A lookup within the byte limit is broadcast, so the fact rows never move.
-    Beyond it, keys holding more than ``HOT_FRACTION`` of the rows (at most
-    1/HOT_FRACTION of them, by counting) are joined by broadcasting just their
-    lookup rows; the others go through an ordinary shuffle join. Rows with a
-    null key cannot match and skip the shuffle too.
+    One join that reads each side once, without a job while the plan is built.
+    Spark broadcasts a lookup whose estimated or, after its own stage, measured
+    size is within ``spark.sql.autoBroadcastJoinThreshold``; ``limit=0`` rules
+    that out. Beyond it both sides are dealt by the key, and the adaptive skew
+    join cuts any partition of the facts above the session's byte threshold
+    over several tasks, one that holds a hot key or the null keys included.
     """
-    on = list(on)
-    if fits_broadcast(right, limit):
-        return left.join(F.broadcast(right), on, how)
-    filled = F.lit(True)
-    for c in on:
-        filled = filled & F.col(c).isNotNull()
-    counts = left.where(filled).groupBy(*on).count()
-    rows = left.count()
-    hot = counts.where(F.col("count") > max(1, int(rows * HOT_FRACTION))).select(*on)
-    hot = left.sparkSession.createDataFrame(hot.collect(), hot.schema)
-    right_names = [c for c in right.columns if c not in on]
-    out = on + [c for c in left.columns if c not in on] + right_names
-    cold = left.where(filled).join(F.broadcast(hot), on, "left_anti").join(right, on, how)
-    hot_lookup = hot.join(right, on, how)
-    warm = left.join(F.broadcast(hot_lookup), on, "inner")
-    result = cold.select(*out).unionByName(warm.select(*out))
-    if how == "left":
-        blank = left.where(~filled)
-        for f in right.schema.fields:
-            if f.name in right_names:
-                blank = blank.withColumn(f.name, F.lit(None).cast(f.dataType))
-        result = result.unionByName(blank.select(*out))
-    return result
+    return left.join(right.hint("merge") if limit == 0 else right, list(on), how)
 
 
 def has_key(
     left: DataFrame, keys: DataFrame, on: Sequence[str], present: bool = True, limit: int | None = None
 ) -> DataFrame:
     """Rows of ``left`` whose key is (not) in ``keys``; null keys are not in it."""
-    marked = lookup_join(left, keys.select(*on).distinct().withColumn("_seen", F.lit(1)), on, "left", limit)
-    test = F.col("_seen").isNotNull() if present else F.col("_seen").isNull()
-    return marked.where(test).select(*left.columns)
+    return lookup_join(left, keys.select(*on).distinct(), on, "left_semi" if present else "left_anti", limit).select(*left.columns)
 
 
 def _partition_offsets(ordered: DataFrame, total: Column) -> DataFrame:
@@ -177,8 +134,10 @@ def group_quantiles(
     out = [F.col("_g")[c].alias(c) for c in by]
     for name, p in quantiles.items():
         rank = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
+        lo, hi = F.col(f"{name}_lo").cast("double"), F.col(f"{name}_hi").cast("double")
+        # the built-in percentile's own formula, so that both ways agree to the last digit
+        between = (F.ceil(rank) - rank) * lo + (rank - F.floor(rank)) * hi
+        out.append(F.when(lo == hi, lo).otherwise(between).alias(name))
     return picked.select(*out)
 
 

@@ -21,6 +21,7 @@ def local_session(cpus: str = "*", app: str = "gridloom") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.shuffle.partitions", "8" if cpus == "*" else str(cpus))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()

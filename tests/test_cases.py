@@ -161,6 +161,14 @@ def test_peak_of_three_records_and_ties(spark):
     assert got[3].forecast_kwh == 0 and got[3].peak_timestamp == T0 + dt.timedelta(hours=3)
 
 
+@pytest.mark.parametrize("operator", [peak_outlook, forecast_steps])
+def test_outlooks_read_the_history_once(spark, tmp_path, operator):
+    spark.createDataFrame(hourly([1.0, 2.0, 3.0], 1), HISTORY).write.parquet(f"{tmp_path}/history")
+    df = operator(spark.read.parquet(f"{tmp_path}/history"), "meter_id", "timestamp", "consumption_kwh", 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_unusable_histories(spark):
     rows = hourly([1.0, 2.0], 1) + hourly([1.0, math.nan, 2.0], 2) + hourly([1.0, -2.0, 2.0], 3)
     rows += [(4, T0, 1.0), (4, T0, 2.0), (4, T0, 3.0)]
@@ -211,6 +219,37 @@ def test_requests(spark):
     assert good.count() == 1 and bad.count() == len(cases)
 
 
+STRICT = {
+    "zone name": ({"timestamp": "2016-07-15 14:00:00 Europe/Paris"}, "timestamp_zone"),
+    "zone UTC": ({"timestamp": "2016-07-15 14:00:00 UTC"}, "timestamp_zone"),
+    "zone glued": ({"timestamp": "2016-07-15T14:00:00Z"}, "timestamp_zone"),
+    "time alone": ({"timestamp": "14:00:00"}, "timestamp_invalid"),
+    "suffix d": ({"square_feet": "5d"}, "not_numeric:square_feet"),
+    "suffix f": ({"wind_speed": "5f"}, "not_numeric:wind_speed"),
+    "tab": ({"primary_use": "\t\n"}, "primary_use_blank"),
+    "wide space": ({"primary_use": "\u2003"}, "primary_use_blank"),
+}
+
+
+def test_strict_requests(spark):
+    rows = [(k, json.dumps({**REQUEST, **v})) for k, (v, _) in STRICT.items()]
+    odd = {**REQUEST, "square_feet": " 5e2 ", "timestamp": "2016-07-15 14:00", "primary_use": "\tEducation\n"}
+    df = spark.createDataFrame([*rows, ("ok", json.dumps(odd))], "name string, body string")
+    got = {r.name: r for r in vd.validate_requests(df, "body").collect()}
+    assert {k: got[k].errors for k in STRICT} == {k: [e] for k, (_, e) in STRICT.items()}
+    assert got["ok"].errors == [] and got["ok"].square_feet == 500 and got["ok"].primary_use == "Education"
+
+
+def test_strict_feature_rows(spark):
+    def body(meter, x):
+        return f'{{"meter": {meter}, "input_timestamp": "2016-07-15T14:00:00", "features": {{"x": {x}, "use": "a"}}}}'
+
+    cases = {"ok": body("0", "1.5"), "null": body("0", "null"), "text": body('"0"', "1"), "huge": body("0", "1e400"), "one": body("1", "1")}
+    df = spark.createDataFrame(list(cases.items()), "name string, body string")
+    got = {r.name: r.errors for r in vd.validate_features(df, "body", ["x", "use"], {"use": ["a"]}).collect()}
+    assert got == {"ok": [], "null": [], "text": ["meter_code"], "huge": ["not_numeric:x"], "one": ["meter_code"]}
+
+
 def test_unknown_inputs_warn(spark):
     odd = {**REQUEST, "building_id": 999999, "site_id": 999999, "primary_use": "Casino"}
     df = spark.createDataFrame([(json.dumps(odd),)], "body string")

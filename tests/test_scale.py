@@ -47,10 +47,39 @@ def test_has_key(facts, lookup, limit):
     assert rows_of(scale.has_key(facts, lookup, ["k"], False, limit)) == rows_of(facts.join(lookup, ["k"], "left_anti").select(*facts.columns))
 
 
-def test_measured_bytes_counts_text(spark):
-    df = spark.createDataFrame([("x" * 100,), ("y" * 50,)], "s string")
-    assert scale.measured_bytes(df) >= 150
-    assert not scale.fits_broadcast(df, 100)
+@pytest.mark.parametrize("limit", [None, 0])
+def test_joins_read_the_facts_once(facts, lookup, tmp_path, limit):
+    """Two chained joins and a key test plan one scan of each input, whether the lookup is broadcast or not."""
+    spark = facts.sparkSession
+    for name, df in (("facts", facts), ("lookup", lookup)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    table, names = spark.read.parquet(f"{tmp_path}/facts"), spark.read.parquet(f"{tmp_path}/lookup")
+    one = scale.lookup_join(table, names, ["k"], limit=limit)
+    two = scale.lookup_join(one, names.withColumnsRenamed({"name": "n2", "w": "w2"}), ["k"], limit=limit)
+    plan = scale.has_key(two, names, ["k"], limit=limit)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 4
+    assert plan.count("SortMergeJoin") == (3 if limit == 0 else 0)
+
+
+def test_a_hot_key_is_cut_over_tasks(spark):
+    """One key with most of the rows: its partition is read by several tasks."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 200_000, 1, 16).select(F.when(F.col("id") % 10 == 0, F.col("id") % 97).otherwise(7).alias("k"), F.rand(3).alias("v"))
+        names = spark.range(97).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        joined = scale.lookup_join(rows, names, ["k"], limit=0)
+        largest = joined.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert joined.count() == 200_000 and largest < 100_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_position(facts):
@@ -78,6 +107,7 @@ def test_quantiles_of_groups_too_large_for_a_task(facts, by):
         return rows_of(df.select(*by, *[F.round(c, 6).alias(c) for c in points]))
 
     assert rounded(small) == rounded(large)
+    assert rows_of(small.select(*by, *points)) == rows_of(large.select(*by, *points))
 
 
 @pytest.mark.parametrize("by", [[], ["g"], ["k"]])
