@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -34,13 +35,15 @@ from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_CHARS, LAYOUTS, EPOCHS = 240, 30_000, 3, 6
 PATH, WORDS, HIDDEN = 96, 48, 24
-TOGETHER = 96
+#: Pages that are read together: at most so many, of at most so many steps with their padding.
+TOGETHER, STEPS = 96, 1 << 16
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+CLOSED = re.compile(r"</\w+\s*>\Z")
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -54,17 +57,32 @@ Block = tuple[str, tuple[str, ...], float]
 
 
 def blocks_of(html: str) -> list[Block]:
-    """(text, names on the path, share of linked characters) of every leaf block in page order."""
+    """(text, distinct names on the path, share of linked characters) of every leaf block in page order.
+
+    The innermost name comes last. Deep pages cost what their tags cost: names and open tags are counted, not listed anew.
+    """
     stack: list[tuple[str, tuple[str, ...]]] = []
+    opened: Counter[str] = Counter()
+    path: dict[str, int] = {}
     out: list[Block] = []
     parts: list[str] = []
-    linked = total = links = 0
+    linked = total = 0
+
+    def leave(i: int) -> None:
+        for tag, names in reversed(stack[i:]):
+            opened[tag] -= 1
+            for n in names:
+                path[n] -= 1
+                if not path[n]:
+                    del path[n]
+        del stack[i:]
 
     def close_block() -> None:
         nonlocal parts, linked, total
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append((text, tuple(n for _, names in stack for n in names), linked / max(1, total)))
+            last = stack[-1][1][-1:] if stack else ()
+            out.append((text, (*(n for n in path if n not in last), *last), linked / max(1, total)))
         parts, linked, total = [], 0, 0
 
     def add(piece: str) -> None:
@@ -72,12 +90,16 @@ def blocks_of(html: str) -> list[Block]:
         if piece:
             parts.append(piece)
             total += len(piece)
-            linked += len(piece) if links else 0
+            linked += len(piece) if opened["a"] else 0
 
-    at = 0
+    # nothing behind the last > can be a tag; only a comment may begin there
+    cut = html.rfind(">") + 1
+    rest = html[cut:].partition("<!--")[0]
+    html, at, hidden = html[:cut], 0, False
     for m in MARKUP.finditer(html):
         add(html[at : m.start()])
         at = m.end()
+        hidden = at == cut and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[1] is not None and not CLOSED.search(m[0]))
         tag = (m[3] or "").lower()
         if not tag:
             continue
@@ -86,26 +108,27 @@ def blocks_of(html: str) -> list[Block]:
         elif m[2]:
             if tag in BLOCKS:
                 close_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            links = sum(t == "a" for t, _ in stack)
+            if opened[tag]:
+                leave(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
         else:
             if tag in BLOCKS:
                 close_block()
                 if tag in ENDS:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] in ENDS[tag]:
-                            del stack[i:]
+                            leave(i)
                             break
                         if stack[i][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "body"):
                             break
             if tag not in VOID and not m[4].endswith("/"):
                 named = [w.lower() for a in NAMED.findall(m[4]) for w in re.split(r"[\s_-]+", "".join(a)) if w] if m[4] else []
                 stack.append((tag, (tag, *named[:6])))
-                links += tag == "a"
+                opened[tag] += 1
+                for n in stack[-1][1]:
+                    path[n] = path.get(n, 0) + 1
     add(html[at:])
+    if not hidden:
+        add(rest)
     close_block()
     return out
 
@@ -120,7 +143,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), PATH + WORDS + 8), np.float32)
     for i, (text, path, linked) in enumerate(blocks):
         row = out[i]
-        for name in dict.fromkeys(path):
+        for name in path:
             slot, sign = _slot(name, PATH)
             row[slot] += sign
         if path:
@@ -316,12 +339,18 @@ def main_text(model: Labeller, htmls: list[str]) -> list[str]:
     pages = [blocks_of(h) if h else [] for h in htmls]
     out = [""] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-    for k in range(0, len(order), TOGETHER):
-        group = order[k : k + TOGETHER]
+    k = 0
+    while k < len(order):
+        # the longest page of a group sets its padded length; a page beyond STEPS is read alone
+        size = 1
+        while size < TOGETHER and k + size < len(order) and (size + 1) * len(pages[order[k + size]]) <= STEPS:
+            size += 1
+        group = order[k : k + size]
+        k += size
         x, mask = padded([vectors(pages[i]) for i in group])
         keep = model.scores(x, mask) > 0
         for j, i in enumerate(group):
-            out[i] = "\n".join(b[0] for b, k in zip(pages[i], keep[:, j]) if k)
+            out[i] = "\n".join(b[0] for b, main in zip(pages[i], keep[:, j]) if main)
     return out
 
 

@@ -40,7 +40,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "openssh", "der")
 
-JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]{8,}")
+# begins where a run begins and gives nothing back, so that a very long run is read once
+JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{8,}+")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[0-9A-Fa-f]{40,}")
 OPENSSH = b"openssh-key-v1\x00"

@@ -188,6 +188,7 @@ def test_secret_scan(docs, nothing, rows):
     assert kinds(f"a {body} b") == {"der"} and kinds(f"é {token}.") == {"jwt"}
     assert kinds(f"-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----") >= {"pem"}
     assert "der" in kinds(key.hex()) and "der" in kinds(key.hex().upper())
+    assert kinds("g" * 2_000_000 + f" {token}") == {"jwt"}
     assert kinds(base64.b64encode(key[:-3]).decode()) == set() and kinds("abcdefgh.ijklmnop.qrstuvwx") == set()
     clean = secret_scan.masked(docs)
     assert clean.columns == docs.columns and clean.count() == len(rows)
@@ -305,6 +306,14 @@ def test_block_labeller(spark, tables):
 def test_blocks():
     page = "<p>a&amp;b  <b>c</b>\n d<p>e<br>f<script>var x='</p>';</script><ul><li>g<li>h</ul><a href='/'>i</a>"
     assert [t for t, _, _ in block_labeller.blocks_of(page)] == ["a&b c d", "e f", "g", "h", "i"]
+    texts = lambda html: [t for t, _, _ in block_labeller.blocks_of(html)]
+    # unclosed comments and scripts hide the rest, an unfinished tag is text
+    assert texts("<p>a</p><!-- b > c") == ["a"] and texts("<p>a</p>b<!-- c") == ["a", "b"]
+    assert texts("<p>a<script>var b > c") == ["a"] and texts("<p>a<b") == ["a<b"]
+    # deep pages, pages of many blocks and ends of tags never opened
+    deep = block_labeller.blocks_of("<div class=x>a</b>" * 20_000)
+    assert len(deep) == 20_000 and deep[-1][1] == ("div", "x")
+    assert block_labeller.blocks_of("<a " * 20_000)[0][0].startswith("<a <a")
 
 
 def test_gradients():
