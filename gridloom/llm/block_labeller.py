@@ -328,9 +328,11 @@ def labelled(htmls: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """Train on a bounded sample of ``pages`` (html), chosen by hash."""
-    rows = pages.select("html").where(F.length("html") <= SAMPLE_CHARS).orderBy(F.xxhash64("html"), "html").limit(sample).collect()
-    data = labelled([r["html"] for r in rows if r["html"]])
+    """Train on a bounded sample of distinct ``pages`` (html), chosen by hash; only the hashes are sorted."""
+    short = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h"))
+    chosen = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = short.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect()
+    data = labelled([r["html"] for r in sorted(rows, key=lambda r: r["h"])])
     return train(data) if data else Labeller()
 
 
