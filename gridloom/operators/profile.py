@@ -238,7 +238,7 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
-    """Rows per equal-width bin; the last bin is closed, a constant column lies mid-range."""
+    """Rows per equal-width bin, empty bins included; the last bin is closed, a constant column lies mid-range."""
     known = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
     ends = known.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
     if ends["a"] is None:
@@ -248,7 +248,11 @@ def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
         low, width = low - 0.5, 1.0
     place = F.least(F.floor((F.col("v") - low) / width * bins), F.lit(bins - 1)).cast("int")
     counted = known.groupBy(place.alias("bin")).agg(rows().alias("row_count"))
-    return counted.select("bin", (F.lit(low) + F.col("bin") * F.lit(width / bins)).alias("bin_start"), "row_count")
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    # at most ``bins`` rows on both sides
+    whole = every.join(counted, "bin", "left")
+    start = F.lit(low) + F.col("bin") * F.lit(width / bins)
+    return whole.select("bin", start.alias("bin_start"), F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"))
 
 
 def box_summary(df: DataFrame, by: str, value: Column) -> DataFrame:

@@ -17,6 +17,7 @@ from gridloom.operators import sampling as sm
 from gridloom.operators import scale
 from gridloom.plans import bindings as b
 from gridloom.plans.registry import query
+from gridloom.session import materialize
 
 W = b.WEATHER
 
@@ -90,13 +91,20 @@ def fill_from_lookup(spark, sf):
 
 @query(
     "columns_unchanged",
-    "SELECT event_id, meter_reading, CAST(0 AS BIGINT) AS copies_before, CAST(0 AS BIGINT) AS copies_after FROM readings WHERE false",
+    """SELECT 'feature building' AS step, CAST(0 AS BIGINT) AS differing_rows
+    UNION ALL SELECT 'a changed reading', CAST(2 * count(meter_reading) AS BIGINT) FROM readings WHERE event_id % 7 = 0""",
 )
 def columns_unchanged(spark, sf):
-    """Differences of the carried columns after imputing and feature building: none."""
-    before = b.readings(spark, sf)
-    after = ft.features_v1(b.clean(spark, sf), keep=["event_id"])
-    return qa.unchanged(before, after, ["event_id", "meter_reading"])
+    """Rows that differ on any of the 16 carried columns: none after feature building, two per reading changed on purpose."""
+    before = materialize(b.clean(spark, sf).select("event_id", *b.MERGED), "carried")
+    after = ft.features_v1(before, keep=["event_id"])
+    reading = F.col("meter_reading") + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    steps = {"feature building": after, "a changed reading": after.withColumn("meter_reading", reading)}
+    counts = [
+        qa.unchanged(before, df, ["event_id", *b.MERGED]).agg(F.lit(n).alias("step"), F.count(F.lit(1)).alias("differing_rows"))
+        for n, df in steps.items()
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 _CAL = """CAST(year({t}) AS INTEGER) AS year, quarter({t}) AS quarter, month({t}) AS month, weekofyear({t}) AS week_of_year,
@@ -279,18 +287,27 @@ _V1 = f"""hour(timestamp) AS hour, isodow(timestamp) - 1 AS day_of_week, day(tim
   coalesce(air_temperature >= 30, false) AS is_hot, {r4(_HEAT, 'heating_degree_proxy')}, {r4(_COOL, 'cooling_degree_proxy')}"""
 
 
-@query(
-    "features_v1",
+_V1_SQL = (
     "SELECT event_id, "
     + ", ".join(f"round({c}, 4) AS {c}" if c in W else c for c in b.MERGED)
     + f", {_V1}, "
     + ", ".join(r4(e, n) for n, e in _INTER.items())
-    + " FROM clean",
+    + " FROM clean"
 )
+
+
+@query("features_v1", _V1_SQL)
 def features_v1(spark, sf):
     return floats(ft.features_v1(b.clean(spark, sf), keep=["event_id"]))
 
 
+@query("drop_forbidden_predictors", f"SELECT * EXCLUDE ({', '.join(ft.FORBIDDEN_PREDICTORS)}) FROM ({_V1_SQL})")
+def drop_forbidden_predictors(spark, sf):
+    """The first feature set without identifiers, time, meter and target."""
+    features = ft.features_v1(b.clean(spark, sf), keep=["event_id"])
+    return floats(features.select(*ft.assert_predictors(ft.predictors(features))))
+
+
 _EL = f"""{_CAL.format(t='timestamp')}, {_SEASON.format(t='timestamp')} AS season, {_cyc('timestamp', 'weekday')},
   {', '.join(r4(e.format(t='timestamp'), n) for n, e in _STRICT.items())},
   {r4('air_temperature - dew_temperature', 'temperature_difference')}, {r4(_HUM, 'relative_humidity_proxy')},
@@ -308,38 +325,59 @@ def features_electricity(spark, sf):
     return floats(ft.electricity_features(treated(spark, sf), keep=["event_id"]))
 
 
-_RANGED = ["hour", "day_of_year", "log_square_feet", "relative_humidity", "heating_degree_proxy", "is_hot"]
-_RANGED_SQL = {
-    "hour": "hour(timestamp)",
-    "day_of_year": "dayofyear(timestamp)",
-    "log_square_feet": r4("ln(1 + square_feet)"),
-    "relative_humidity": r4(_HUM),
-    "heating_degree_proxy": r4(_HEAT),
-    "is_hot": "CAST(coalesce(air_temperature >= 30, false) AS INTEGER)",
-}
+def _ranges_sql(more=lambda n: ""):
+    """Range of every engineered column over the feature rows ``f``."""
 
+    def number(n):
+        return f"CAST({n} AS INTEGER)" if n.startswith("is_") else n
 
-@query(
-    "feature_ranges",
-    "WITH f AS (SELECT "
-    + ", ".join(f"{e} AS {n}" for n, e in _RANGED_SQL.items())
-    + " FROM clean) "
-    + " UNION ALL ".join(
-        f"SELECT '{n}' AS feature, CAST(min({n}) AS DOUBLE) AS minimum, CAST(max({n}) AS DOUBLE) AS maximum FROM f" for n in _RANGED
-    ),
-)
+    return f"WITH f AS MATERIALIZED ({_V1_SQL}) " + " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, CAST(min({number(n)}) AS DOUBLE) AS minimum, CAST(max({number(n)}) AS DOUBLE) AS maximum{more(n)} FROM f"
+        for n in ft.V1_FEATURES
+    )
+
+
+@query("feature_ranges", _ranges_sql())
 def feature_ranges(spark, sf):
-    return floats(pf.feature_ranges(ft.features_v1(b.clean(spark, sf)), _RANGED))
+    return floats(pf.feature_ranges(ft.features_v1(b.clean(spark, sf)), ft.V1_FEATURES))
+
+
+_WHOLE = dict.fromkeys(["hour", "day_of_week", "day_of_month", "week_of_year", "month", "quarter"], "tinyint")
+_WHOLE |= {"day_of_year": "smallint", "building_age_2016": "smallint"}
+
+
+def _described(n):
+    flag = n.startswith("is_")
+    kind = "boolean" if flag else _WHOLE.get(n, "float")
+    return f", '{kind}' AS data_type, '{'flag' if flag else 'number'}' AS kind, CAST(count(*) FILTER (WHERE {n} IS NULL) AS BIGINT) AS missing"
 
 
-@query("feature_dictionary")
+@query("feature_dictionary", _ranges_sql(_described))
 def feature_dictionary(spark, sf):
-    return ft.feature_dictionary(ft.features_v1(b.clean(spark, sf)))
+    return floats(ft.feature_dictionary(materialize(ft.features_v1(b.clean(spark, sf)), "features")))
 
 
-@query("leakage_check")
+@query(
+    "leakage_check",
+    """SELECT 'first feature set' AS features, CAST(0 AS BIGINT) AS differing_rows
+    UNION ALL SELECT 'with a column of the target', CAST(2 * count(*) FILTER (WHERE (meter_reading > 10) <> (meter_reading * -3 + 17 > 10)) AS BIGINT)
+    FROM readings""",
+)
 def leakage_check(spark, sf):
-    return qa.leakage_check(b.clean(spark, sf), lambda df: ft.features_v1(df, keep=["event_id"]), "meter_reading")
+    """Feature rows that follow the target: none of the first set, and those a leaking column changes."""
+    rows = materialize(b.clean(spark, sf), "clean")
+
+    def plain(df):
+        return ft.features_v1(df, keep=["event_id"])
+
+    def leaking(df):
+        return plain(df).withColumn("leak", F.col("meter_reading") > 10)
+
+    counts = [
+        qa.leakage_check(rows, build, "meter_reading").agg(F.lit(n).alias("features"), F.count(F.lit(1)).alias("differing_rows"))
+        for n, build in {"first feature set": plain, "with a column of the target": leaking}.items()
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 @query(

@@ -268,9 +268,10 @@ def skewness_profile(spark, sf):
 def _hist_sql(value, source, bins):
     return f"""WITH v AS (SELECT {value} AS v FROM {source} WHERE {value} IS NOT NULL),
     e AS (SELECT min(v) AS a, max(v) - min(v) AS w FROM v)
-    SELECT bin, round(a + bin * (w / {bins}), 6) AS bin_start, row_count FROM (
+    SELECT i.bin, round(a + i.bin * (w / {bins}), 6) AS bin_start, coalesce(row_count, 0) AS row_count
+    FROM (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) i CROSS JOIN e LEFT JOIN (
     SELECT CAST(least(floor((v - (SELECT a FROM e)) / (SELECT w FROM e) * {bins}), {bins - 1}) AS INTEGER) AS bin,
-    count(*) AS row_count FROM v GROUP BY 1), e"""
+    count(*) AS row_count FROM v GROUP BY 1) c ON i.bin = c.bin"""
 
 
 @query("histogram", _hist_sql("ln(1 + meter_reading)", "readings", 80))

@@ -167,6 +167,38 @@ def stream_detect_anomalies(spark, sf):
     store, checkpoint = scratch_path(spark, "anomalies"), scratch_path(spark, "stream-checkpoint")
     source = _event_stream(spark, sf).select("user_id", "ts", "value")
     ingest.stream_anomalies(source, "user_id", "ts", "value", store, checkpoint).awaitTermination()
+    return _found(spark, store)
+
+
+_CUTS = ("2024-01-10", "2024-01-20")
+
+
+@query(
+    "stream_detect_growing_history",
+    f"""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < TIMESTAMP '{_CUTS[0]}' THEN 0 WHEN ts < TIMESTAMP '{_CUTS[1]}' THEN 1 ELSE 2 END AS batch
+    FROM events),
+    k AS (SELECT t.batch, e.user_id, ts, value FROM e JOIN (SELECT DISTINCT batch, user_id FROM e) t ON e.user_id = t.user_id AND e.batch <= t.batch
+    QUALIFY row_number() OVER (PARTITION BY t.batch, e.user_id ORDER BY ts DESC, value) <= 40),
+    c AS (SELECT batch, user_id, median(value) AS center FROM k GROUP BY 1, 2),
+    s AS (SELECT k.batch, k.user_id, 1.4826 * median(abs(value - center)) AS scale FROM k JOIN c USING (batch, user_id) GROUP BY 1, 2)
+    SELECT user_id, ts, value AS actual_kwh, round(center, 6) AS expected_kwh FROM k JOIN c USING (batch, user_id) JOIN s USING (batch, user_id)
+    WHERE scale > 0 AND abs(value - center) / scale >= 3.5
+    QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY batch, value) = 1""",
+)
+def stream_detect_growing_history(spark, sf):
+    """Three micro-batches; each is judged against the newest 40 readings per meter seen so far."""
+    arrived, store, kept = scratch_path(spark, "arrived"), scratch_path(spark, "anomalies"), scratch_path(spark, "history")
+    events = b.table(spark, sf, "events", "user_id", "ts", "value")
+    first, second = (F.lit(c).cast("timestamp_ntz") for c in _CUTS)
+    for part in (F.col("ts") < first, (F.col("ts") >= first) & (F.col("ts") < second), F.col("ts") >= second):
+        events.where(part).repartition(4).write.mode("append").parquet(arrived)
+    source = ingest.read_stream(spark, arrived, events.schema, files_per_batch=4)
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    ingest.stream_anomalies(source, "user_id", "ts", "value", store, checkpoint, kept=kept, records=40).awaitTermination()
+    return _found(spark, store)
+
+
+def _found(spark, store):
     shape = T.StructType.fromDDL(
         "user_id long, ts timestamp, anomaly_type string, severity string, actual_kwh double, expected_kwh double, "
         "deviation_pct double, description string"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.operators.anomaly import mad_anomalies
+from gridloom.operators.anomaly import check_settings, mad_anomalies
 from gridloom.operators.joins import first_row
 from gridloom.operators.scale import has_key
 
@@ -72,18 +72,38 @@ def stream_anomalies(
     checkpoint: str,
     history: DataFrame | None = None,
     threshold: float = 3.5,
+    kept: str | None = None,
+    records: int | None = None,
 ) -> StreamingQuery:
-    """Detect per micro-batch against ``history`` and append only new (meter, time) rows.
-
-    A batch that runs twice adds nothing the second time. Each batch's rows
-    go to their own folder, replaced on a rerun.
+    """Detect per micro-batch against the history and append only new (meter, time) rows.
+
+    The history grows: each batch adds its readings to the folder ``kept``, and
+    all readings of the meters in the batch seen so far, with those of
+    ``history``, give the medians; ``records`` keeps only the newest of each
+    meter. Without ``kept`` a batch is judged with
+    ``history`` alone. A batch that runs twice adds nothing the second time:
+    its readings and its anomalies go to folders of their own, replaced on a
+    rerun, and it does not see those of later batches.
     """
+    check_settings(threshold, records)
     spark = source.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(key, ts, value)
+        if kept:
+            rows.write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+            rows = spark.read.schema(rows.schema).parquet(f"{kept}/batch={batch_id}")
         meters = rows.select(key).distinct()
-        known = rows if history is None else rows.unionByName(has_key(history.select(key, ts, value), meters, [key]))
+        known = rows
+        if history is not None:
+            known = known.unionByName(has_key(history.select(key, ts, value), meters, [key]))
+        if kept and batch_id:
+            whole = T.StructType([*rows.schema.fields, T.StructField("batch", T.LongType())])
+            earlier = spark.read.schema(whole).parquet(kept).where(F.col("batch") < batch_id).drop("batch")
+            known = known.unionByName(has_key(earlier, meters, [key]))
+        if records is not None:
+            newest = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(value))
+            known = known.withColumn("_place", F.row_number().over(newest)).where(F.col("_place") <= records).drop("_place")
         found = mad_anomalies(known, key, ts, value, threshold).drop("score")
         fresh = first_row(found, [key, ts], [F.col("actual_kwh")])
         earlier = stored_anomalies(spark, store, fresh.schema, before=batch_id)
