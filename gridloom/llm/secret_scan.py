@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.textnum import LOWER, slices
+from gridloom.llm.textnum import LOWER, slices, word_spans
 
 # The patterns of the contract, and the kinds in order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -152,12 +152,9 @@ def _worth(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows that may hold a span: a marker, 16 hexadecimal or 19 coded bytes in a row."""
     out = np.zeros(len(offsets) - 1, bool)
     for table, least in ((_HEXBYTE, 16), (_CODED, 19)):
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], table[data].astype(np.int8), [0]])))
-        starts, ends = edge[::2], edge[1::2]
-        long = starts[ends - starts >= least]
-        out[np.searchsorted(offsets, long, "right") - 1] = True
-        # a run over the border of rows marks the rows that it reaches
-        out[np.searchsorted(offsets, ends[ends - starts >= least] - 1, "right") - 1] = True
+        # runs end with their row, so that a row wholly of such bytes is seen whatever its neighbours are
+        starts, ends, rows = word_spans(data, offsets, table)
+        out[rows[ends - starts >= least]] = True
     raw = LOWER[data].tobytes()
     for mark in _MARKS:
         at = raw.find(mark)

@@ -196,6 +196,24 @@ def test_secret_scan(docs, nothing, rows):
     assert text["text"] == '<assign>" and <assign>' and text["n_chars"] == len(text["text"])
 
 
+def test_secrets_between_and_beside_other_rows(spark):
+    import base64
+    import json
+
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    key = base64.b64encode(_der(0x30, _der(2, b"\x00") + _der(4, bytes(range(100))))).decode().rstrip("=")
+    bare = [("deadbeefdeadbeef0123", "hex:0:20"), (f"{head}.{head}.c2lnbmF0dXJlMTIz", None), (key, None)]
+    for text, spelled in bare:
+        for texts in ([text] * 5, ["Some prose ends here.", text, "Next prose begins."], ["ab", text, "", None, text, "cd"]):
+            docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+            got = by_id(secret_scan.secret_spans(docs))
+            for i, t in enumerate(texts):
+                spans = secret_scan.find_spans(t or "")
+                assert got[i]["spans"] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+                assert (spans != []) == (t == text) and (t != text or spelled in (None, got[i]["spans"]))
+            assert all(text not in (r["text"] or "") for r in secret_scan.masked(docs).collect())
+
+
 def test_tokens_are_those_of_the_published_file(rows):
     import public_tokenizers
     from tokenizers import Tokenizer
