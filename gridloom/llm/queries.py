@@ -47,7 +47,7 @@ def structural_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_add("op3_delta_token_rollup")
 def delta_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_rollup(_table(spark, sf_dir, "documents"))
+    return corpus_rollup(_table(spark, sf_dir, "documents"), restore=True)
 
 
 @_add("op4_diagonal_license_scan")

@@ -100,25 +100,29 @@ def compact(spark: SparkSession, store: str, target: str) -> None:
     commit(target, "compacted", totals(spark, store))
 
 
-def corpus_rollup(docs: DataFrame) -> DataFrame:
+def corpus_rollup(docs: DataFrame, restore: bool = False) -> DataFrame:
     """Totals of a corpus after its insert, the removal of exact copies, and a revised tokenizer version.
 
     The load inserts every document under ``byte_bpe/1`` and ``words/1``. The
     clean-up deletes all copies of a text but the one with the least ``doc_id``.
     The revision replaces ``byte_bpe/1`` of the remaining documents by
-    ``byte_bpe/2``, which counts the end id too. Every batch is sent twice.
+    ``byte_bpe/2``, which counts the end id too. With ``restore`` the copies are
+    inserted again under the revised versions, so that the totals are those of
+    every row of ``docs``. Every batch is sent twice.
     """
     spark = docs.sparkSession
-    counts = materialize(count_tokens(docs), "counts")
+    counts = materialize(count_tokens(docs).withColumn("ended", F.col("bpe") + 1), "counts")
     firsts = counts.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"))
     marked = counts.join(firsts, ["one", "two"]).withColumn("copy", ~F.col("doc_id").eqNullSafe(F.col("first_id")))
-    copies = marked.where("copy")
-    stay = marked.where("not copy").withColumn("ended", F.col("bpe") + 1)
+    marked = materialize(marked.drop("one", "two", "first_id"), "marked")
+    copies, stay = marked.where("copy"), marked.where("not copy")
     both = [("byte_bpe/1", "bpe"), ("words/1", "words")]
     load = changes(counts, *both[0], 1).unionByName(changes(counts, *both[1], 1))
     clean = changes(copies, *both[0], -1).unionByName(changes(copies, *both[1], -1))
     revise = changes(stay, *both[0], -1).unionByName(changes(stay, "byte_bpe/2", "ended", 1))
+    back = changes(copies, "byte_bpe/2", "ended", 1).unionByName(changes(copies, *both[1], 1))
+    sent = [("load", load), ("clean", clean), ("load", load), ("revise", revise), ("clean", clean), ("revise", revise)]
     store = scratch_path(spark, "rollup")
-    for name, batch in (("load", load), ("clean", clean), ("load", load), ("revise", revise), ("clean", clean), ("revise", revise)):
+    for name, batch in sent + [("restore", back)] * 2 * restore:
         commit(store, name, batch)
     return totals(spark, store)

@@ -287,6 +287,22 @@ def test_rollup(spark, docs, nothing, rows):
     assert token_rollup.totals(spark, store).first()["n_tokens"] == 10
 
 
+def test_rollup_counts_every_document(spark, tmp_path, docs, rows):
+    from gridloom.llm.queries import QUERIES
+
+    again = docs.unionByName(docs.where("doc_id < 30").withColumn("source", F.lit("other")).withColumn("doc_id", F.col("doc_id") + 1000))
+    again.write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter()
+    for r in again.collect():
+        t = r["text"] or ""
+        for version, n in (("byte_bpe/2", len(tokens.encode(t, tokens.default_path())) + 1), ("words/1", len(brute.DARK.findall(t)))):
+            key = (r["source"], r["lang"], version)
+            for name, more in (("n_docs", 1), ("n_tokens", n), ("n_chars", len(t))):
+                want[(*key, name)] += more
+    got = QUERIES["op3_delta_token_rollup"](spark, str(tmp_path)).collect()
+    assert {(r["source"], r["lang"], r["version"], c): r[c] for r in got for c in token_rollup.SUMS} == dict(want)
+
+
 def test_importance(docs, nothing, labels, rows):
     got = importance.classify(docs, labels).collect()
     assert len(got) == len(rows)
