@@ -147,6 +147,31 @@ def test_license_scan(spark, docs, nothing, rows):
     assert {r["doc_id"]: r["labels"] for r in found.collect()} == {1: "bsd", 2: ""}
 
 
+def test_license_words_decide(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    filler = " ".join(f"word{i}" for i in range(70))
+    cases = [
+        ("This work is licensed under the GNU General Public License version 2", ""),
+        ("This work is licensed under the GNU General Public License version 3", "gpl-3"),
+        ("This file is released under the GNU General Public License version 3", "gpl-3"),
+        ("licensed under the GNU General Public License version 3", "gpl-3"),
+        ("This work is licensed under the GNU Lesser General Public License version 3", ""),
+        (cc.format(""), "cc-by"), (cc.format("-ShareAlike"), "cc-by-sa"), (cc.format("-NonCommercial"), "cc-by-nc"),
+        (cc.format("-Non-Commercial"), "cc-by-nc"), (cc.format("-NonCommercial-ShareAlike"), ""), (cc.format("-NoDerivatives"), ""),
+        (cc.replace("4.0 International", "3.0 Unported").format(""), "cc-by"),
+        ("the terms of the mozilla public license", ""),
+    ]
+    cases += [(f"{filler} {t} {filler}", label) for t, label in cases] + [(" ".join(t for t, _ in cases[:6:5]), "cc-by")]
+    cases += [(f"{filler[:n]} {cc.format('')} {filler}", "cc-by") for n in range(0, 260, 37)]
+    cases += [(v, k) for k, v in license_diagonals.TEMPLATES.items()]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = by_id(license_diagonals.license_scan(docs))
+    base = lambda i: set(got[i]["base_labels"].split(","))
+    told = {i: ",".join(sorted(set(got[i]["labels"].split(",")) - base(i))) for i in got}
+    assert told == {i: "" if label in base(i) else label for i, (_, label) in enumerate(cases)}
+    assert got[1]["score"] == 1.0 and got[3]["score"] == 0.75 and got[0]["score"] == 0.0
+
+
 def test_quality_rules(docs, nothing, rows):
     got = by_id(robust_outliers.robust_quality(docs))
     for d, t, *_ in rows:
