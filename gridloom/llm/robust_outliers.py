@@ -5,8 +5,8 @@ per word) and judged against their language and source: the minimum covariance
 determinant estimate starts from medians and absolute deviations, keeps the
 three quarters of the documents with the least distance, and re-estimates mean
 and covariance from these in a few concentration steps, each of which lowers
-the determinant. A document is rejected when its squared Mahalanobis distance,
-scaled to the group's median, passes a cutoff in a direction of poorer text.
+the determinant. A document is rejected when its squared Mahalanobis distance
+over all five statistics, scaled to the group's median, passes a cutoff.
 
 At scale: texts are read once; the statistics, some ten numbers a document, are
 stored and every step is a grouping combined before the shuffle. Quantiles come
@@ -30,8 +30,6 @@ from gridloom.session import materialize
 
 #: Transformed statistics and the least deviation that counts as one, so that constant columns do no harm.
 FLOORS = {"x_words": 0.30, "x_length": 0.04, "x_symbols": 0.15, "x_lines": 0.15, "x_repeats": 0.15}
-#: Poorer text has more of these.
-POORER = ("x_symbols", "x_lines", "x_repeats")
 NAMES = list(FLOORS)
 BIN = 64.0
 STEPS, SHARE, CUTOFF, LEAST = 3, 0.75, 60.0, 200
@@ -133,7 +131,9 @@ def robust_quality(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST)
     stats = materialize(stats.select("*", *_vector()), "statistics")
     sizes = materialize(stats.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("usable")), "sizes")
     named = sizes.withColumnsRenamed({"lang": "l", "source": "s"})
-    cell = F.when(F.col("usable") >= least, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang")))
+    # null keys are spelled out, else a null source would share the cell of the pooled language
+    named_cell = lambda *keys: F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    cell = F.when(F.col("usable") >= least, named_cell("lang", "source")).otherwise(named_cell("lang"))
     rows = stats.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     rows = materialize(rows.withColumn("cell", cell).drop("l", "s", "usable"), "cells")
     usable = rows.where("not base_failed").select("cell", *NAMES)
@@ -154,11 +154,8 @@ def robust_quality(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST)
     placed = _distance(usable, estimate).select("cell", F.log1p("d").alias("d"))
     middle = materialize(_quantile(placed, ["cell"], "d", 0.5, "middle"), "middle")
     judged = _distance(rows.where("not base_failed"), estimate).join(middle, "cell")
-    poorer = F.lit(False)
-    for n in POORER:
-        poorer = poorer | (F.col(n) > F.col(f"m_{n}") + 2 * FLOORS[n])
     distance = F.col("d") * CHI_MEDIAN / F.greatest(F.expm1("middle"), F.lit(CHI_MEDIAN))
-    judged = judged.withColumn("distance", distance).withColumn("kept", ~((F.col("distance") > cutoff) & poorer))
+    judged = judged.withColumn("distance", distance).withColumn("kept", F.col("distance") <= cutoff)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
     failed = rows.where("base_failed").withColumn("distance", F.lit(None).cast("double")).withColumn("kept", F.lit(False))
     return judged.select(*out).unionByName(failed.select(*out))

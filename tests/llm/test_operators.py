@@ -192,6 +192,24 @@ def test_quality_rules(docs, nothing, rows):
     assert robust_outliers.robust_quality(nothing).count() == 0
 
 
+def test_outliers_by_length_alone_and_null_keys(spark):
+    rng = random.Random(5)
+    word = lambda a, b: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(a, b)))
+    text = lambda a, b: " ".join(word(a, b) for _ in range(rng.randint(150, 250)))
+    rows = [(i, text(2, 8), "en", "web") for i in range(250)]
+    rows += [(1000 + i, text(60, 60), "en", "web") for i in range(3)]
+    # a null source is a group of its own, apart from the small sources of its language
+    rows += [(2000 + i, text(2, 8), "en", None) for i in range(250)]
+    rows += [(3000 + i, text(14, 24), "en", f"small{i % 5}") for i in range(250)]
+    # and so is a null language beside a language without one
+    rows += [(4000 + i, text(2, 8), None, "x") for i in range(250)] + [(5000 + i, text(14, 24), None, None) for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = by_id(robust_outliers.robust_quality(docs))
+    assert not any(got[1000 + i]["kept"] for i in range(3))
+    for first in (0, 2000, 3000, 4000, 5000):
+        assert sum(got[first + i]["kept"] for i in range(250)) >= 248, first
+
+
 def _der(tag, body):
     return bytes([tag, len(body)]) + body if len(body) < 128 else bytes([tag, 0x82]) + len(body).to_bytes(2) + body
 
