@@ -6,21 +6,25 @@ open elements), its hashed words and a few counts. A bidirectional LSTM in numpy
 reads the blocks of a page in both directions and labels each as main text or
 not, so the verdict on a block rests on the whole page.
 
-The model is trained on the driver from at most ``SAMPLE`` pages of at most
-``SAMPLE_CHARS`` characters, chosen by the hash of their html: their own markup
-says what lies in the article. To be independent of one layout, their blocks
+The model is trained on the driver from at most ``SAMPLE`` pages of any length,
+chosen by the hash of their html: their own markup says what lies in the
+article. Of a page with more than ``SAMPLE_CHARS`` characters of text it takes
+neighbouring blocks of about that length around a border of the article, cut
+out where the page lies. To be independent of one layout, these blocks
 are also set in invented layouts (other containers, class names, menus,
 notices, forms, comments, with words taken from other pages). Training has a
 fixed seed. Pages are labelled in tasks of their own; nothing is shuffled, and
 the weights (some ten thousand numbers) travel with the tasks.
 
 Null or empty html gives an empty text; so does a page in which nothing is main
-text. Repeated rows stay rows; an empty table gives no rows and, as there is
+text. If no page has text to learn from, invented texts take its place in the
+layouts. Repeated rows stay rows; an empty table gives no rows and, as there is
 nothing to learn from, no training. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -122,7 +126,7 @@ def blocks_of(html: str) -> list[Block]:
                             break
             if tag not in VOID and not m[4].endswith("/"):
                 named = [w.lower() for a in NAMED.findall(m[4]) for w in re.split(r"[\s_-]+", "".join(a)) if w] if m[4] else []
-                stack.append((tag, (tag, *named[:6])))
+                stack.append((tag, (tag, *named)))
                 opened[tag] += 1
                 for n in stack[-1][1]:
                     path[n] = path.get(n, 0) + 1
@@ -139,7 +143,9 @@ def _slot(word: str, slots: int) -> tuple[int, float]:
     return h % slots, 1.0 if h & 0x10000 else -1.0
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
+def vectors(blocks: list[Block], first: int = 0, total: int = 0) -> np.ndarray:
+    """A row per block; ``blocks`` are those from ``first`` on of a page of ``total`` blocks, or a whole page."""
+    total = total or len(blocks)
     out = np.zeros((len(blocks), PATH + WORDS + 8), np.float32)
     for i, (text, path, linked) in enumerate(blocks):
         row = out[i]
@@ -157,7 +163,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         n = len(text)
         ends = sum(text.count(c) for c in ".!?")
         row[PATH + WORDS :] = (
-            np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, ends / (len(words) or 1), text[-1:] in ".!?\"'", i / len(blocks), 1 - i / len(blocks), np.log1p(len(path)) / 3,
+            np.log1p(n) / 5, np.log1p(len(words)) / 4, linked, ends / (len(words) or 1), text[-1:] in ".!?\"'", (first + i) / total, 1 - (first + i) / total, np.log1p(len(path)) / 3,
         )
     return out
 
@@ -307,17 +313,50 @@ def layout(texts: list[str], other: list[str], rng: np.random.Generator) -> str:
 WITHIN = frozenset("nav aside footer form button select ad advert comment comments related sidebar cookie menu title".split())
 
 
-def labelled(htmls: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Training pages: as they are, where the markup names an article, and in invented layouts."""
+def _main(blocks: list[Block]) -> np.ndarray:
+    return np.array([("article" in p or "main" in p) and not WITHIN.intersection(p) for _, p, _ in blocks], np.float32)
+
+
+def excerpt(html: str, most: int = SAMPLE_CHARS) -> tuple[list[Block], int, int]:
+    """(blocks, place of the first, blocks of the page): the page, or about ``most`` characters around a border of its main text."""
+    blocks = blocks_of(html)
+    sizes = [max(len(t), 30) for t, _, _ in blocks]  # a block costs something, however short
+    if sum(sizes) <= most:
+        return blocks, 0, len(blocks)
+    borders = np.flatnonzero(np.diff(_main(blocks))) + 1
+    h = zlib.crc32(html.encode("utf-8", "replace"))
+    a = b = int(borders[h % len(borders)]) if len(borders) else h % len(blocks)
+    left = {"before": most // 2, "after": most // 2}
+    # the blocks on both sides of the border in any case, a longer one with its beginning
+    while a > 0 and left["before"] > 0:
+        a -= 1
+        left["before"] -= sizes[a]
+    while b < len(blocks) and left["after"] > 0:
+        left["after"] -= sizes[b]
+        b += 1
+    return [(t[: most // 2], p, linked) for t, p, linked in blocks[a:b]], a, len(blocks)
+
+
+#: Texts for the layouts when no page has any.
+INVENTED = (
+    ("A quiet harbour", "The boats came back before noon, and the market on the quay was already full of people.", "Nobody had expected so much fish after the storm, so prices fell within an hour."),
+    ("How the bridge was built", "Work began in the spring, when the river was low enough to set the first stones.", "The engineers measured the arch again each week and wrote the figures in a small book.", "It was opened two years later."),
+    ("Notes on winter gardens", "Most herbs survive the frost if their roots are covered with leaves.", "Water them in the morning only, since wet soil freezes at night."),
+)
+
+
+def labelled(pages: list[tuple[list[Block], int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training pages: excerpts as they are, where the markup names an article, and in invented layouts."""
     rng, out, texts = np.random.default_rng(11), [], []
-    for html in htmls:
-        blocks = blocks_of(html)
-        y = np.array([("article" in p or "main" in p) and not WITHIN.intersection(p) for _, p, _ in blocks], np.float32)
+    for blocks, first, total in pages:
+        y = _main(blocks)
         if y.any() and not y.all():
-            out.append((vectors(blocks), y))
+            out.append((vectors(blocks, first, total), y))
         own = [t for (t, _, _), label in zip(blocks, y) if label] if y.any() else [t for t, _, linked in blocks if len(t) > 80 and linked < 0.3]
         if own:
             texts.append([re.sub("[<>&]", " ", t) for t in own[:60]])
+    if not out and not texts:
+        texts = [list(t) for t in INVENTED] * 8
     flat = [t for own in texts for t in own]
     for own in texts:
         for _ in range(LAYOUTS):
@@ -327,13 +366,21 @@ def labelled(htmls: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, html in zip(batch.column("h"), batch.column("html")):
+            part = pa.array([pickle.dumps(excerpt(html.as_py()))], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([h.as_py()], pa.int64()), part], ["h", "part"])
+
+
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """Train on a bounded sample of distinct ``pages`` (html), chosen by hash; only the hashes are sorted."""
-    short = pages.where(F.length("html").between(1, SAMPLE_CHARS)).select("html", F.xxhash64("html").alias("h"))
-    chosen = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(sample).collect()]
-    rows = short.where(F.col("h").isin(chosen)).dropDuplicates(["h"]).collect()
-    data = labelled([r["html"] for r in sorted(rows, key=lambda r: r["h"])])
-    return train(data) if data else Labeller()
+    full = pages.where("html != ''").select("html", F.xxhash64("html").alias("h"))
+    chosen = [r["h"] for r in full.select("h").distinct().orderBy("h").limit(sample).collect()]
+    if not chosen:
+        return Labeller()
+    parts = full.where(F.col("h").isin(chosen)).mapInArrow(_excerpts, "h long, part binary").dropDuplicates(["h"])
+    return train(labelled([pickle.loads(r["part"]) for r in sorted(parts.collect(), key=lambda r: r["h"])]))
 
 
 def main_text(model: Labeller, htmls: list[str]) -> list[str]:

@@ -380,6 +380,30 @@ def test_block_labeller(spark, tables):
     assert block_labeller.extract(odd.limit(0)).count() == 0
 
 
+def test_block_labeller_of_long_pages(spark):
+    from gridloom.llm.block_labeller import blocks_of, excerpt, extract
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    links = lambda: "<nav><ul>" + "".join(f"<li><a href=/x>{prose(2)}</a></li>" for _ in range(30)) + "</ul></nav>"
+    page = lambda: f"<html><body>{links()}<article>" + "".join(f"<p>{prose(90)}</p>" for _ in range(90)) + f"</article><footer><p>{prose(6)}</p></footer></body></html>"
+    data = [(i, page()) for i in range(12)]
+    assert min(len(h) for _, h in data) > 30_000
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([(i, "u", h) for i, h in data], "page_id long, url string, html string")).collect()}
+    right = total = 0
+    for i, html in data:
+        for text, path, _ in blocks_of(html):
+            right += (text in got[i].split("\n")) == ("article" in path)
+            total += 1
+    assert right >= 0.95 * total
+    blocks, first, n = excerpt(data[0][1])
+    assert sum(len(t) for t, _, _ in blocks) < 35_000 and first > 0 and n == 121 and len({"article" in p for _, p, _ in blocks}) == 2
+    # nothing to learn from: weights are trained all the same
+    assert block_labeller.fit(spark.createDataFrame([("<p></p>",)], "html string")).w["q"].any()
+    named = '<div class="a1 b2 c3 d4 e5 f6 footer"><p>x</p></div>'
+    assert "footer" in blocks_of(named)[0][1]
+
+
 def test_blocks():
     page = "<p>a&amp;b  <b>c</b>\n d<p>e<br>f<script>var x='</p>';</script><ul><li>g<li>h</ul><a href='/'>i</a>"
     assert [t for t, _, _ in block_labeller.blocks_of(page)] == ["a&b c d", "e f", "g", "h", "i"]
