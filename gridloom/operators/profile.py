@@ -152,21 +152,30 @@ def usage_by(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(*usage(value))
 
 
-def time_profile(df: DataFrame, ts: str, value: str, grain: str, fill: bool = False) -> DataFrame:
-    """Sum, count and mean per hour of day, calendar day or month.
+def time_profile(df: DataFrame, ts: str, value: str, grain: str, fill: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Sum, count and mean per hour of day, calendar day or month, of each ``by`` where given.
 
-    ``fill`` adds the days without rows (null mean), as resampling would.
+    ``fill`` adds the days without rows (null mean), as resampling would, between the first and last of each ``by``.
     """
     if grain == "hour":
-        return df.groupBy(F.hour(ts).alias("period")).agg(*usage(value))
+        return df.groupBy(*by, F.hour(ts).alias("period")).agg(*usage(value))
     period = F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz")
-    found = df.groupBy(period.alias("period")).agg(*usage(value))
+    found = df.groupBy(*by, period.alias("period")).agg(*usage(value))
     if not fill:
         return found
     step = F.expr("INTERVAL 1 DAY") if grain == "day" else F.expr("INTERVAL 1 MONTH")
-    ends = df.agg(F.min(period).alias("a"), F.max(period).alias("b"))
-    spine = ends.select(F.explode(F.sequence("a", "b", step)).alias("period"))
-    return spine.join(found, "period", "left").withColumn("row_count", F.coalesce("row_count", F.lit(0)))
+    ends = df.groupBy(*by).agg(F.min(period).alias("a"), F.max(period).alias("b"))
+    spine = ends.select(*by, F.explode(F.sequence("a", "b", step)).alias("period"))
+    if not by:
+        whole = spine.join(found, "period", "left")
+    else:
+        # null is a group of its own
+        spine = spine.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("period").alias("_period"))
+        same = F.col("_period") == F.col("period")
+        for c in by:
+            same = same & F.col(f"_{c}").eqNullSafe(F.col(c))
+        whole = spine.join(found, same, "left").drop(*by, "period").withColumnsRenamed({f"_{c}": c for c in (*by, "period")})
+    return whole.withColumn("row_count", F.coalesce("row_count", F.lit(0)))
 
 
 def median_by(df: DataFrame, by: str, value: str) -> DataFrame:

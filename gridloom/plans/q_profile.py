@@ -66,6 +66,16 @@ def duplicate_rows(spark, sf):
     return qa.duplicate_count(df, df.columns)
 
 
+@query(
+    "duplicate_rows_all_columns",
+    """SELECT count(*) AS row_count, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows
+    FROM lineitem""",
+)
+def duplicate_rows_all_columns(spark, sf):
+    df = b.table(spark, sf, "lineitem")
+    return qa.duplicate_count(df, df.columns)
+
+
 @query(
     "duplicate_key_exists",
     """SELECT l_orderkey, l_linenumber, count(*) AS row_count FROM lineitem GROUP BY 1, 2
@@ -202,6 +212,23 @@ def daily_profile_filled(spark, sf):
     return _round_usage(pf.time_profile(df, "o_orderdate", "o_totalprice", "day", fill=True))
 
 
+@query(
+    "daily_profile_filled_by_site",
+    """WITH sparse AS (SELECT c_nationkey AS site, o_orderpriority AS priority, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS period,
+      sum(o_totalprice) AS total, count(o_totalprice) AS row_count, avg(o_totalprice) AS mean
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+    day_list AS (SELECT site, priority, unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS period FROM sparse GROUP BY 1, 2)
+    SELECT s.site, s.priority, s.period, round(total, 4) AS total, coalesce(row_count, 0) AS row_count, round(mean, 6) AS mean
+    FROM day_list s LEFT JOIN sparse p ON s.period = p.period AND s.site IS NOT DISTINCT FROM p.site
+      AND s.priority IS NOT DISTINCT FROM p.priority""",
+)
+def daily_profile_filled_by_site(spark, sf):
+    """All orders by the customer's nation and priority; days are missing by themselves in small tables."""
+    sites = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("site"))
+    df = b.table(spark, sf, "orders").join(sites, "o_custkey", "left").withColumnRenamed("o_orderpriority", "priority")
+    return _round_usage(pf.time_profile(df, "o_orderdate", "o_totalprice", "day", fill=True, by=["site", "priority"]))
+
+
 @query(
     "monthly_profile",
     """SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS period, round(sum(o_totalprice), 4) AS total,

@@ -372,3 +372,14 @@ def test_whole_electricity_build(spark, merged):
     assert out.where(" or ".join(f"{c} is null" for c in WEATHER_COLUMNS)).isEmpty()
     assert out.where("meter_reading = 0").count() == 1
     assert out.orderBy("timestamp").first().air_temperature == 20.0
+
+
+def test_profiles_are_filled_per_group(spark):
+    from datetime import datetime
+
+    from gridloom.operators.profile import time_profile
+
+    rows = [("a", datetime(2020, 1, 1), 1.0), ("a", datetime(2020, 1, 4), 2.0), (None, datetime(2020, 1, 2), 3.0), (None, datetime(2020, 1, 3), 4.0), ("b", None, 5.0)]
+    df = spark.createDataFrame(rows, "site string, ts timestamp_ntz, v double")
+    got = sorted((r["site"] or "", r["period"].day, r["row_count"], r["total"]) for r in time_profile(df, "ts", "v", "day", True, ["site"]).collect())
+    assert got == [("", 2, 1, 3.0), ("", 3, 1, 4.0), ("a", 1, 1, 1.0), ("a", 2, 0, None), ("a", 3, 0, None), ("a", 4, 1, 2.0)]
