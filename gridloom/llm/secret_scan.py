@@ -41,9 +41,14 @@ HEX = re.compile("[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "openssh", "der")
 
 # begins where a run begins and gives nothing back, so that a very long run is read once
-JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]{8,}+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----\s*+((?:[A-Za-z][A-Za-z0-9-]*: [^\n]*+\n)*+)([A-Za-z0-9+/=\s]+)-----END \1-----")
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[0-9A-Fa-f]{40,}")
+SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Beginnings of a binary OpenSSH key and of a PEM frame in base64.
+HEADS = ("b3BlbnNzaC1rZXkt", "LS0tLS1CRUdJTi")
 OPENSSH = b"openssh-key-v1\x00"
 
 _HEXBYTE = np.zeros(256, bool)
@@ -110,15 +115,72 @@ def decoded(body: str) -> list[bytes]:
     return out
 
 
+def is_pem(text: str) -> bool:
+    """A frame around key material, or around whole cipher blocks where its header lines say so."""
+    m = PEM.search(text)
+    return m is not None and _framed(m)
+
+
+def _framed(m: re.Match[str]) -> bool:
+    body = "".join(m[3].split())
+    if "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
+        return any(raw and len(raw) % 8 == 0 for raw in decoded(body))
+    return _key_kind(body) in ("openssh", "der")
+
+
 def _key_kind(body: str) -> str | None:
     for raw in decoded(body):
         if is_openssh_key(raw):
             return "openssh"
         if is_der_key(raw):
             return "der"
+        if raw.lstrip().startswith(b"-----BEGIN") and is_pem(raw.decode("latin-1")):
+            return "pem"
     return None
 
 
+def _wrapped(m: re.Match[str]) -> list[tuple[int, int, int]]:
+    """(start, rank of kind, end) of keys in base64 over several lines; one begins and ends with a line."""
+    lines = [(x.start(), x.end(), x[0]) for x in LINE.finditer(m.string, m.start(), m.end())]
+    out, done = [], 0
+    for i, (start, _, head) in enumerate(lines):
+        ends = []
+        if i >= done and head.startswith(HEADS):
+            ends = [len(lines), len(lines) - 1]
+        elif i >= done and head[0] == "M" and (raw := decoded(head[:8])):
+            # a SEQUENCE says how long it is
+            n, shift = raw[-1][1] if len(raw[-1]) > 1 else 0, 2
+            if n > 0x80 and n <= 0x84:
+                n, shift = int.from_bytes(raw[-1][2 : 2 + n - 0x80]), 2 + n - 0x80
+            need, have, j = (n + shift) * 4, 0, i
+            while j < len(lines) and have * 3 < need:
+                have += len(lines[j][2])
+                j += 1
+            ends = [j]
+        for j in ends:
+            kind = _key_kind("".join(x[2] for x in lines[i:j])) if j > i + 1 else None
+            if kind:
+                out.append((start, KINDS.index(kind), lines[j - 1][1]))
+                done = j
+                break
+    return out
+
+
+def _tokens(m: re.Match[str]) -> list[tuple[int, int, int]]:
+    """Signed tokens from any of the dot-separated parts of ``m`` on."""
+    parts, out, i, at = m[0].split("."), [], 0, m.start()
+    while i + 2 < len(parts):
+        size = [len(p) for p in parts[i : i + 3]]
+        if size[0] >= 8 and size[1] >= 2 and size[2] >= 8 and _signed(parts[i]):
+            out.append((at, 3, at + sum(size) + 2))
+            at += sum(size) + 3
+            i += 3
+        else:
+            at += size[0] + 1
+            i += 1
+    return out
+
+
 def _signed(token: str) -> bool:
     for raw in decoded(token.split(".")[0]):
         try:
@@ -135,12 +197,23 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if _signed(m[0])]
-    found += [(m.start(), 4, m.end()) for m in PEM.finditer(text) if _key_kind("".join(m[2].split()))]
-    for m in BODY.finditer(text):
-        kind = _key_kind(m[0])
-        if kind:
-            found.append((m.start(), KINDS.index(kind), m.end()))
+    for m in PARTS.finditer(text):
+        found += _tokens(m)
+    frames = [(m.start(), 4, m.end()) for m in PEM.finditer(text) if _framed(m)]
+    keys = set(frames)
+    for pattern in (BODY, SAFE):
+        for m in pattern.finditer(text):
+            kind = _key_kind(m[0])
+            if kind:
+                keys.add((m.start(), KINDS.index(kind), m.end()))
+    for m in WRAPPED.finditer(text):
+        keys.update(x for x in _wrapped(m) if not any(a <= x[0] and x[2] <= b for a, _, b in frames))
+    # of keys of one kind that overlap, the first and longest
+    done = dict.fromkeys(range(len(KINDS)), 0)
+    for a, k, b in sorted(keys, key=lambda s: (s[0], -s[2])):
+        if a >= done[k]:
+            found.append((a, k, b))
+            done[k] = b
     return sorted(found)
 
 
