@@ -142,8 +142,8 @@ def learned_rank_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BALL_TREE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10
@@ -168,10 +168,10 @@ failed AS (
 cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, mask),
 letters AS (SELECT unnest([0, 1, 2, 3, 4]) AS i),
 orders AS (
-  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], x -> 'ABCDE'[x + 1:x + 1]), '') AS filter_order
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda x: 'ABCDE'[x + 1:x + 1]), '') AS filter_order
   FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
 places AS (
-  SELECT filter_order, step, o[step] AS f, CAST(coalesce(list_sum(list_transform(o[1:step - 1], x -> 1 << x)), 0) AS INT) AS before
+  SELECT filter_order, step, o[step] AS f, CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x)), 0) AS INT) AS before
   FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
 counted AS (
   SELECT part, filter_order, step, f,
