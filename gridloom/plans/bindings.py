@@ -38,6 +38,7 @@ MERGED = [
 SITES = 25
 TRAIN_END = "2024-01-20 23:59:59"
 VALID_END = "2024-01-25 23:59:59"
+FEED_START = "2024-01-01 00:00:00"
 ORDER_TRAIN_END = "1998-12-31 23:59:59"
 ORDER_VALID_END = "1999-12-31 23:59:59"
 
@@ -111,6 +112,17 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("event_id", "ts_hour", *[F.col("ts").alias(c) if c == "timestamp" else F.col(c) for c in MERGED])
 
 
+def feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as readings: a source is a meter that reports a size once a minute, its language is the site."""
+    return table(spark, sf, "documents", "doc_id", "source", "lang", "n_chars").select(
+        F.col("doc_id").alias("reading_id"),
+        F.col("source").alias("meter_id"),
+        F.col("lang").alias("site"),
+        F.timestamp_micros(F.unix_micros(F.lit(FEED_START).cast("timestamp")) + F.col("doc_id") * 60_000_000).cast("timestamp_ntz").alias("ts"),
+        F.col("n_chars").cast("double").alias("value"),
+    )
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     price = F.col("o_totalprice")
     return table(spark, sf, "orders").select(
@@ -157,6 +169,8 @@ VIEWS = {
   LEFT JOIN weather w ON b.site_id = w.site_id AND r.ts_hour = w.ts_hour""",
     "scored": """SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, o_orderstatus, o_totalprice AS y,
   o_totalprice * (0.8 + 0.05 * (o_orderkey % 9)) - 2000 AS p FROM orders""",
+    "feeds": f"""SELECT doc_id AS reading_id, source AS meter_id, lang AS site, TIMESTAMP '{FEED_START}' + to_minutes(doc_id) AS ts,
+  CAST(n_chars AS DOUBLE) AS value FROM documents""",
     "history": """SELECT building_id AS meter_id, ts AS timestamp, meter_reading AS consumption_kwh,
   event_id, event_id % 17 <> 3 AS is_valid FROM readings""",
     "predictions": """SELECT o_orderkey AS id, o_custkey AS meter_id, o_orderdate AS predicted_at,
