@@ -23,14 +23,21 @@ from pyspark.sql.types import DataType
 
 from gridloom.operators.anomaly import HISTORY_RANGE, MAD_SCALE, check_settings
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: The store that state with timers needs; commits write changes instead of whole tables, and a store of little state reserves no space.
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 #: Values of the windows that are judged at once.
 WINDOW_VALUES = 1 << 22
 
 
 def use_keyed_state(spark: SparkSession) -> None:
-    """State with timers needs the RocksDB store, a setting of the session."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Settings of the session for streams with keyed state."""
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
 
 
 def _named(key: str) -> Column:
