@@ -53,12 +53,14 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, anchor hash, start, offset of the anchor, windows, hash) of every run of windows with one anchor."""
+    """(row, anchor hash, start, offset of the anchor, windows, digest) of every run of windows with one anchor.
+
+    Runs are taken for equal by the digest, 128 bits of SHA-256, and not by the anchors' hashes.
+    """
     empty = np.zeros(0, np.int64)
     if len(data) < LENGTH:
-        return empty, empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
-    spans = SpanHash(data)
-    grams = spans.rolling(GRAM)
+        return empty, empty.astype(np.uint64), empty, empty, empty, []
+    grams = SpanHash(data).rolling(GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     anchor = (sliding_least((grams & ~PLACE) | place, LENGTH - GRAM + 1) & PLACE).astype(np.int64)
     valid = np.zeros(len(data) + 1, np.int32)
@@ -67,7 +69,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(valid, offsets[1:][long] - LENGTH + 1, -1)
     starts = np.flatnonzero(np.cumsum(valid)[: len(anchor)])
     if not len(starts):
-        return empty, empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty.astype(np.uint64), empty, empty, empty, []
     at = anchor[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (at[1:] != at[:-1]) | (np.diff(starts) > 1)
@@ -76,7 +78,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
     at = at[new]
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, grams[at], first - offsets[row], at - first, count, spans.of(first, first + count - 1 + LENGTH)
+    raw = data.tobytes()
+    digests = [hashlib.sha256(raw[a:z]).digest()[:16] for a, z in zip(first.tolist(), (first + count - 1 + LENGTH).tolist())]
+    return row, grams[at], first - offsets[row], at - first, count, digests
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +91,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = pa.array(row + begin)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c).take(take) for c in ("one", "two", "doc_id")]
-                + [pa.array(gram.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(body.view(np.int64))],
+                + [pa.array(gram.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(body, pa.binary())],
                 names,
             )
 
@@ -265,7 +269,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     known = docs.select("doc_id", "text", *text_keys())
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = known.where(F.octet_length("text") >= LENGTH).mapInArrow(
-        _anchors, f"one long, two long, doc_id {kind}, anchor long, start int, off int, windows int, body long"
+        _anchors, f"one long, two long, doc_id {kind}, anchor long, start int, off int, windows int, body binary"
     )
     found = materialize(found, "anchors")
     what = ["anchor", "off", "windows", "body"]
@@ -274,7 +278,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     seen = materialize(folded.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "seen")
     several = materialize(
         folded.join(seen, "anchor").select(
-            *what, "n", "at", F.to_binary(F.sha2(F.concat_ws(",", *what), 256), F.lit("hex")).alias("id")
+            *what, "n", "at", F.to_binary(F.sha2(F.concat_ws(",", "anchor", "off", "windows", F.hex("body")), 256), F.lit("hex")).alias("id")
         ),
         "several",
     )
@@ -299,7 +303,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         finer = materialize(_finer(rows.join(many, "group"), width), "finer")
         # equal stretches repeat in full; one of them goes on
         on = ["group", "off", "windows", "print"]
-        marked = finer.withColumn("print", F.xxhash64("body"))
+        marked = finer.withColumn("print", F.sha2("body", 256))
         folds = materialize(marked.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "skip")).alias("keep")), "folds")
         whole = marked.join(folds.where("n > 1").select(*on), on)
         results.append(whole.select("id", F.col("skip").alias("first"), (F.col("skip") + F.col("windows")).cast("int").alias("last")))

@@ -14,9 +14,9 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 21
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+PRIME = np.uint64((1 << 31) - 1)
+BASES = (0x5BD1E995, 0x1B873593)
+_POWERS: dict[int, np.ndarray] = {}
 
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -60,33 +60,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
+def _fold(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, which 31 bits hold."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x[x == PRIME] = 0
+    return x
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo the prime; those of a slice are kept."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
         size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            grown = np.full(size, base, np.uint64)
-            grown[0] = 1
-            _POWERS[name] = np.multiply.accumulate(grown)
-    up, down = _POWERS["up"][:n], _POWERS["down"][:n]
-    if len(_POWERS["up"]) > 8 * SLICE_BYTES:
-        _POWERS["up"], _POWERS["down"] = np.ones(1, np.uint64), np.ones(1, np.uint64)
-    return up, down
+        known = np.empty(size, np.uint64)
+        known[0], done = 1, 1
+        while done < size:
+            more = min(done, size - done)
+            known[done : done + more] = _fold(known[:more] * np.uint64(pow(base, done, int(PRIME))))
+            done += more
+        if size <= 8 * SLICE_BYTES:
+            _POWERS[base] = known
+    return known[:n]
 
 
 class SpanHash:
-    """Polynomial hash of any span of a byte array, from prefix sums."""
+    """Hash of any span of a byte array, from prefix sums: two polynomials modulo a prime.
+
+    Modulo a power of two, texts could be built that differ everywhere and have
+    equal hashes for any base.
+    """
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        n = len(data)
+        self.parts = []
+        for base in BASES:
+            terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(base, n + 1)[:n]
+            if n >= 1 << 24:
+                terms = _fold(terms)  # so that the sums stay below 2^64
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=sums[1:])
+            self.parts.append((sums, _powers(pow(base, -1, int(PRIME)), n + 1)))
+
+    def _joined(self, pick) -> np.ndarray:
+        one, two = (_fold(_fold(difference) * down) for difference, down in map(pick, self.parts))
+        return mix(one | two << np.uint64(31))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        return self._joined(lambda part: (part[0][ends] - part[0][starts], part[1][starts]))
 
     def rolling(self, k: int) -> np.ndarray:
         """Hash of every span of ``k`` bytes."""
-        return mix((self.sums[k:] - self.sums[: len(self.sums) - k]) * self.down[: len(self.sums) - k])
+        return self._joined(lambda part: (part[0][k:] - part[0][: len(part[0]) - k], part[1][: len(part[0]) - k]))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
