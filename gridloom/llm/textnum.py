@@ -79,6 +79,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             more = min(done, size - done)
             known[done : done + more] = _fold(known[:more] * np.uint64(pow(base, done, int(PRIME))))
             done += more
+        known = known.astype(np.uint32)  # half the memory of a worker
         if size <= 8 * SLICE_BYTES:
             _POWERS[base] = known
     return known[:n]
