@@ -9,7 +9,8 @@ broke off has no mark of success, is not read, and is written anew when retried.
 
 At scale: documents are tokenized once in tasks that need nothing from each
 other; signs and sums combine before the shuffle, so a source with a third of
-all rows is a row per task. ``compact`` folds many small batches into one.
+all rows is a row per task. ``compact`` folds many small batches into one
+and keeps their names, so that these change nothing in the new store either.
 
 Null sources and languages are groups of their own. Null or empty texts count
 as documents without tokens. Repeated rows count as often as they occur; equal
@@ -30,6 +31,7 @@ from gridloom.llm.tokens import default_path, encode
 from gridloom.session import materialize, scratch_path
 
 KEYS = ["source", "lang", "version"]
+COMPACTED = "compacted"
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 
@@ -75,13 +77,20 @@ def committed(spark: SparkSession, store: str) -> list[str]:
     return sorted(n[6:] for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{n}/_SUCCESS")))
 
 
+def carried(spark: SparkSession, store: str) -> set[str]:
+    """Names of the batches that ``compact`` folded into the store, known from its commit on."""
+    if COMPACTED not in committed(spark, store):
+        return set()
+    return {r[0] for r in spark.read.schema("value string").text(f"{store}/carried").collect()}  # a name per commit
+
+
 def commit(store: str, batch: str, signed: DataFrame) -> bool:
     """Sum the signed changes and commit them under ``batch``; False if that name is committed already."""
     spark = signed.sparkSession
     if not batch or not batch.replace("-", "").replace("_", "").isalnum():
         raise ValueError("a batch is named by letters, digits, - and _")
     place, files = _path(spark, store, batch)
-    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")):
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")) or batch in carried(spark, store):
         return False
     sums = signed.groupBy(*KEYS).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS])
     sums.write.mode("overwrite").parquet(place.toString())
@@ -89,15 +98,17 @@ def commit(store: str, batch: str, signed: DataFrame) -> bool:
 
 
 def totals(spark: SparkSession, store: str) -> DataFrame:
-    """Totals by source, language and version over all committed batches; groups without documents are left out."""
+    """Totals by source, language and version over all committed batches; groups whose sums are all 0 are left out."""
     paths = [f"{store}/batch={b}" for b in committed(spark, store)]
     rows = spark.read.schema(SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], SCHEMA)
-    return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs != 0")
+    return rows.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs != 0 OR n_tokens != 0 OR n_chars != 0")
 
 
 def compact(spark: SparkSession, store: str, target: str) -> None:
-    """Write the totals as the single batch of a new store."""
-    commit(target, "compacted", totals(spark, store))
+    """Write the totals as the single batch of a new store, which knows the names of all batches in it."""
+    names = sorted({*committed(spark, store), *carried(spark, store)} - {COMPACTED})
+    spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/carried")
+    commit(target, COMPACTED, totals(spark, store))
 
 
 def corpus_rollup(docs: DataFrame, restore: bool = False) -> DataFrame:
