@@ -252,4 +252,5 @@ def one_of_each(docs: DataFrame, share: tuple[int, int] = (85, 100)) -> DataFram
     rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["d"]) & (mark == kept["m"]), "left_semi")
     if kept.where("n > 1").isEmpty():
         return rows
-    return rows.withColumn("_mark", mark).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    own = "_mark" + "_" * max(map(len, docs.columns))  # longer than any column, so none is overwritten
+    return rows.withColumn(own, mark).dropDuplicates(["doc_id", own]).drop(own)

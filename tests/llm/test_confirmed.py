@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from gridloom.llm import suffix_spans, textnum
-from gridloom.llm.chosen_path import near_duplicates
+from gridloom.llm.chosen_path import near_duplicates, one_of_each
 from tests.llm import brute
 
 
@@ -54,3 +54,9 @@ def test_built_stretches_stay(spark):
     want = brute.removed(list(enumerate(rows)))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_spans.remove_repeats(docs).collect()}
     assert [got[i] for i in range(len(rows))] == want
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x", "y"), (1, "a b c d e f", "x", "y"), (2, "g h i j k l", "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string, n string")
+    assert sorted(map(tuple, one_of_each(docs).collect())) == [rows[0], rows[2]]
