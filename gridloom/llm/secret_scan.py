@@ -24,6 +24,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,10 +47,14 @@ PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----\s*+((?:[A-Za-z][A-Za-z0-9-]*:
 BODY = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[0-9A-Fa-f]{40,}")
 SAFE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}+={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{20,}+\r?\n[\x20\t]*+)+[A-Za-z0-9+/_-]++={0,2}")
+SPACE = re.compile(r"[\x20\t\r\n]*+")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Beginnings of a binary OpenSSH key and of a PEM frame in base64.
 HEADS = ("b3BlbnNzaC1rZXkt", "LS0tLS1CRUdJTi")
 OPENSSH = b"openssh-key-v1\x00"
+#: No encoding of a key has more values on its first level (an RSA key with more than two primes has ten).
+VALUES = 16
+_PLAIN = str.maketrans("-_", "+/")
 
 _HEXBYTE = np.zeros(256, bool)
 _HEXBYTE[48:58] = _HEXBYTE[97:103] = True
@@ -74,34 +79,57 @@ def _length(raw: bytes, at: int) -> tuple[int, int] | None:
     return (start, start + n) if start + n <= len(raw) else None
 
 
-def is_der_key(raw: bytes) -> bool:
-    """A SEQUENCE that fills ``raw`` and holds at least two values, one an INTEGER, BIT or OCTET STRING."""
-    if raw[:1] != b"\x30":
-        return False
-    outer = _length(raw, 0)
-    if outer is None or outer[1] != len(raw):
-        return False
+def der_end(raw: bytes, at: int = 0) -> int | None:
+    """End of the key that begins at ``at``: a SEQUENCE of 2 to ``VALUES`` values, one an INTEGER, BIT or OCTET STRING."""
+    outer = _length(raw, at) if raw[at : at + 1] == b"\x30" else None
+    if outer is None:
+        return None
     at, tags = outer[0], []
     while at < outer[1]:
         inner = _length(raw, at)
-        if inner is None or inner[1] > outer[1]:
-            return False
+        if inner is None or inner[1] > outer[1] or len(tags) == VALUES:
+            return None
         tags.append(raw[at])
         at = inner[1]
-    return len(tags) >= 2 and any(t in (2, 3, 4) for t in tags)
+    return outer[1] if len(tags) >= 2 and any(t in (2, 3, 4) for t in tags) else None
 
 
-def is_openssh_key(raw: bytes) -> bool:
-    """The magic, then the length-prefixed cipher, KDF and options, and a count of keys."""
-    if not raw.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
+def is_der_key(raw: bytes) -> bool:
+    return bool(raw) and der_end(raw) == len(raw)
+
+
+def openssh_fields(raw: bytes, at: int = 0) -> tuple[bytes, int, int] | None:
+    """(cipher, place after the head, number of keys) of a binary OpenSSH key: the magic, then the
+    length-prefixed cipher, KDF and options, and a count of keys."""
+    if not raw.startswith(OPENSSH, at):
+        return None
+    at += len(OPENSSH)
+    cipher = raw[at + 4 : at + 4 + min(64, int.from_bytes(raw[at : at + 4]))]
     for _ in range(3):
-        n = int.from_bytes(raw[at : at + 4])
-        at += 4 + n
+        at += 4 + int.from_bytes(raw[at : at + 4])
+        if at + 4 > len(raw):
+            return None
+    n = int.from_bytes(raw[at : at + 4])
+    return (cipher, at + 4, n) if n >= 1 else None
+
+
+def openssh_end(raw: bytes, at: int = 0) -> int | None:
+    """End of the OpenSSH key at ``at`` by the lengths of its public parts, its private part and that one's tag."""
+    fields = openssh_fields(raw, at)
+    if fields is None:
+        return None
+    cipher, at, n = fields
+    for _ in range(n + 1):
         if at + 4 > len(raw):
-            return False
-    return int.from_bytes(raw[at : at + 4]) >= 1
+            return None
+        at += 4 + int.from_bytes(raw[at : at + 4])
+    # ciphers that vouch for their text put 16 more bytes after it
+    at += 16 if cipher.startswith((b"aes128-gcm", b"aes256-gcm", b"chacha20-poly1305")) else 0
+    return at if at <= len(raw) else None
+
+
+def is_openssh_key(raw: bytes) -> bool:
+    return openssh_fields(raw) is not None
 
 
 def decoded(body: str) -> list[bytes]:
@@ -139,30 +167,81 @@ def _key_kind(body: str) -> str | None:
     return None
 
 
+class _Block:
+    """Lines of base64 in a row, decoded once for each of the four places in a group of characters a key may begin at."""
+
+    def __init__(self, m: re.Match[str]) -> None:
+        lines = [(x.start(), x[0].rstrip("=")) for x in LINE.finditer(m.string, m.start(), m.end())]
+        self.starts = [a for a, _ in lines]
+        self.flat = "".join(x for _, x in lines).translate(_PLAIN)
+        #: characters before each line, and all of them
+        self.before = [0]
+        for _, x in lines:
+            self.before.append(self.before[-1] + len(x))
+        self.end = m.end()
+        self._bytes: dict[int, bytes] = {}
+        self._frames: dict[int, dict[int, int]] = {}
+
+    def raw(self, phase: int) -> bytes:
+        if phase not in self._bytes:
+            body = self.flat[phase:]
+            body = body[: len(body) - (len(body) % 4 == 1)]
+            self._bytes[phase] = base64.b64decode(body + "=" * (-len(body) % 4))
+        return self._bytes[phase]
+
+    def frames(self, phase: int) -> dict[int, int]:
+        """End of each whole PEM frame, white space after it included, by its beginning."""
+        if phase not in self._frames:
+            text = self.raw(phase).decode("latin-1")
+            found = [x for x in PEM.finditer(text) if _framed(x)]
+            self._frames[phase] = {x.start(): SPACE.match(text, x.end()).end() for x in found}
+        return self._frames[phase]
+
+    def place(self, phase: int, upto: int) -> tuple[int, bool]:
+        """(place in the text after the first ``upto`` bytes, whether a line ends there)."""
+        c = phase + upto // 3 * 4 + (0, 2, 3)[upto % 3]
+        j = bisect_left(self.before, c, 1) - 1
+        last = c == self.before[j + 1]
+        return (self.end if last and j == len(self.starts) - 1 else self.starts[j] + c - self.before[j]), last
+
+
 def _wrapped(m: re.Match[str]) -> list[tuple[int, int, int]]:
-    """(start, rank of kind, end) of keys in base64 over several lines; one begins and ends with a line."""
-    lines = [(x.start(), x.end(), x[0]) for x in LINE.finditer(m.string, m.start(), m.end())]
-    out, done = [], 0
-    for i, (start, _, head) in enumerate(lines):
-        ends = []
-        if i >= done and head.startswith(HEADS):
-            ends = [len(lines), len(lines) - 1]
-        elif i >= done and head[0] == "M" and (raw := decoded(head[:8])):
-            # a SEQUENCE says how long it is
-            n, shift = raw[-1][1] if len(raw[-1]) > 1 else 0, 2
-            if n > 0x80 and n <= 0x84:
-                n, shift = int.from_bytes(raw[-1][2 : 2 + n - 0x80]), 2 + n - 0x80
-            need, have, j = (n + shift) * 4, 0, i
-            while j < len(lines) and have * 3 < need:
-                have += len(lines[j][2])
-                j += 1
-            ends = [j]
-        for j in ends:
-            kind = _key_kind("".join(x[2] for x in lines[i:j])) if j > i + 1 else None
-            if kind:
-                out.append((start, KINDS.index(kind), lines[j - 1][1]))
-                done = j
-                break
+    """(start, rank of kind, end) of keys in base64 over several lines.
+
+    A key begins with a line and ends where its own lengths or its frame end; a
+    DER key must end with a line too. An OpenSSH key whose head is right but
+    whose later lengths lead nowhere or into the next key (it is cut off)
+    reaches to the next line that begins one, or to the last line.
+    """
+    block, out, done = _Block(m), [], 0
+    heads = [i for i in range(len(block.starts)) if block.flat.startswith(("M", *HEADS), block.before[i])]
+    texts = [i for i in heads if block.flat[block.before[i]] != "M"]
+    for i in heads:
+        start, at = block.starts[i], block.before[i]
+        if start < done:
+            continue
+        phase, first, end = at % 4, at // 4 * 3, None
+        raw = block.raw(phase)
+        if block.flat[at] == "M":
+            kind, stop = "der", der_end(raw, first)
+            if stop is not None:
+                place, last = block.place(phase, stop)
+                end = place if last else None
+        elif block.flat.startswith(HEADS[0], at):
+            kind, stop = "openssh", openssh_end(raw, first)
+            if openssh_fields(raw, first):
+                after = bisect_right(texts, i)
+                nxt = texts[after] if after < len(texts) else len(block.starts)
+                end = block.end if nxt == len(block.starts) else block.starts[nxt - 1] + block.before[nxt] - block.before[nxt - 1]
+                end = end if stop is None else min(end, block.place(phase, stop)[0])
+        else:
+            kind, stop = "pem", block.frames(phase).get(first)
+            if stop is not None:
+                end = block.place(phase, stop)[0]
+        # one line alone is a candidate of the plain patterns
+        if end is not None and (i + 1 == len(block.starts) or end > block.starts[i + 1]):
+            out.append((start, KINDS.index(kind), end))
+            done = end
     return out
 
 
@@ -206,8 +285,12 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
             kind = _key_kind(m[0])
             if kind:
                 keys.add((m.start(), KINDS.index(kind), m.end()))
+    begins = [a for a, _, _ in frames]
     for m in WRAPPED.finditer(text):
-        keys.update(x for x in _wrapped(m) if not any(a <= x[0] and x[2] <= b for a, _, b in frames))
+        for x in _wrapped(m):
+            at = bisect_right(begins, x[0]) - 1
+            if at < 0 or x[2] > frames[at][2]:
+                keys.add(x)
     # of keys of one kind that overlap, the first and longest
     done = dict.fromkeys(range(len(KINDS)), 0)
     for a, k, b in sorted(keys, key=lambda s: (s[0], -s[2])):
