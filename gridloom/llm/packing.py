@@ -39,7 +39,10 @@ from gridloom.llm.tokens import default_path, encode
 from gridloom.session import materialize
 
 CAPACITY, END = 1024, 2
-ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4, 2, 6, 6
+ISLANDS, POPULATION = 4, 6
+#: An island ends its turn after PATIENCE generations, and the islands end after REST rounds, that together save less than
+#: a share of LEAST of the sequences (but one at least).
+PATIENCE, REST, LEAST = 150, 2, 1e-6
 Plan = list[tuple[tuple[int, ...], int]]
 
 
@@ -120,6 +123,11 @@ def bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
+def fitness(plan: Plan) -> tuple[int, int]:
+    """Fewer sequences first; of equally many, those filled most unevenly, as they leave the most usable room."""
+    return bins(plan), -sum(times * sum(pattern) ** 2 for pattern, times in plan)
+
+
 def crossover(one: Plan, two: Plan, counts: np.ndarray, capacity: int, rng: np.random.Generator) -> Plan:
     """Well-filled patterns of ``two`` go in whole; duplicates in ``one`` go out and displaced lengths are best-fitted."""
     left, child = counts.copy(), []
@@ -133,28 +141,41 @@ def crossover(one: Plan, two: Plan, counts: np.ndarray, capacity: int, rng: np.r
                 left[s] -= times * n
 
     full = [p for p in two if sum(p[0]) >= capacity - 2]
-    for i in rng.permutation(len(full))[: len(full) // 2 + 1]:
+    for i in rng.permutation(len(full))[: int(len(full) * rng.choice([0.1, 0.25, 0.5])) + 1]:
         take(*full[i])
+    least, lost = capacity - int(rng.integers(1, 40)), rng.choice([0, 0.02, 0.1])
     for pattern, times in sorted(one, key=lambda p: -sum(p[0])):
-        if sum(pattern) >= capacity - int(rng.integers(1, 40)):
+        if sum(pattern) >= least and rng.random() >= lost:
             take(pattern, times)
     child += best_fit(left, capacity, rng)
     return child
 
 
-def evolve(counts: np.ndarray, capacity: int, elite: list[Plan], seed: int) -> Plan:
-    """The best plan of one island after its generations."""
+def _enough(n: int) -> int:
+    """Sequences that a gain on ``n`` must save to count as one."""
+    return max(1, math.ceil(n * LEAST))
+
+
+def evolve(counts: np.ndarray, capacity: int, elite: list[Plan], seed: int, patience: int = PATIENCE) -> Plan:
+    """The best plan of one island: at the bound, or without a gain for ``patience`` generations."""
     rng = np.random.default_rng(seed)
     least = bound(counts, capacity)
     people = [*elite, best_fit(counts, capacity)]
     people += [best_fit(counts, capacity, rng) for _ in range(POPULATION - len(people))]
-    for _ in range(GENERATIONS):
-        people.sort(key=bins)
-        if bins(people[0]) <= least:
-            break
+    people.sort(key=fitness)
+    mark, idle = math.inf, 0
+    while True:
+        now = bins(people[0])
+        if now <= mark - _enough(now):
+            mark, idle = now, 0
+        if now <= least or idle == patience:
+            return people[0]
+        idle += 1
         one, two = rng.choice(min(4, len(people)), 2, replace=False)
-        people = [*people[: POPULATION - 1], crossover(people[one], people[two], counts, capacity, rng)]
-    return min(people, key=bins)
+        child = crossover(people[one], people[two], counts, capacity, rng)
+        known = [fitness(p) for p in people]
+        if fitness(child) < known[-1] and fitness(child) not in known:
+            people = sorted([*people[:-1], child], key=fitness)
 
 
 def plan_packing(spark: SparkSession, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
@@ -162,7 +183,8 @@ def plan_packing(spark: SparkSession, counts: np.ndarray, capacity: int = CAPACI
     if not counts.any():
         return []
     elite: list[Plan] = [[] for _ in range(ISLANDS)]
-    for step in range(ROUNDS):
+    least, mark, idle, step = bound(counts, capacity), math.inf, 0, 0
+    while idle < REST:
         known = [e for e in elite if e]
 
         def island(frames: Iterator[pd.DataFrame], elite=elite, known=known, step=step) -> Iterator[pd.DataFrame]:
@@ -176,9 +198,12 @@ def plan_packing(spark: SparkSession, counts: np.ndarray, capacity: int = CAPACI
         elite = [[] for _ in range(ISLANDS)]
         for r in grown.collect():  # some thousand patterns at most, as there are only so many lengths
             elite[r["island"]].append((tuple(r["pattern"]), r["times"]))
-        if min(map(bins, elite)) <= bound(counts, capacity):
+        now, step = min(map(bins, elite)), step + 1
+        idle = 0 if now <= mark - _enough(now) else idle + 1
+        mark = min(mark, now)
+        if now <= least:
             break
-    return min(elite, key=bins)
+    return min(elite, key=fitness)
 
 
 def places(plan: Plan) -> list[tuple[int, int, int, int, int]]:
