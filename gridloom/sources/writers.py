@@ -45,17 +45,30 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, sort: Sequenc
     _store(df, path, overwrite, out.write.option("compression", "snappy").parquet)
 
 
+def by_partition(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of one partition together, in tasks of a like size.
+
+    A partition above ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` is cut
+    over several tasks and small ones share a task, both from measured bytes, so
+    the number of files follows the rows and not tasks times partitions.
+    """
+    return df.hint("rebalance", *[F.col(f"`{c}`") for c in columns])
+
+
 def write_partitioned(df: DataFrame, path: str, site: str, ts: str, overwrite: bool = False, files: int | None = None) -> None:
     """Parquet by site and month.
 
-    Rows of one site and month are spread over ``files`` tasks by a hash of the
-    row's time, so a site with most of the rows is not written by one task.
+    Rows of one site and month are written by as many tasks as their bytes ask
+    for, or are spread over ``files`` tasks by a hash of the row, so a site with
+    most of the rows is not written by one task.
     """
     month = F.date_format(F.col(ts), "yyyyMM")
     marked = df.withColumn("month", month)
     if files:
         spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files))
         marked = marked.repartition(site, "month", spread)
+    else:
+        marked = by_partition(marked, [site, "month"])
     _store(df, path, overwrite, marked.write.partitionBy(site, "month").option("compression", "snappy").parquet)
 
 
