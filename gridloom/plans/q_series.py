@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from gridloom.operators import outlook as ol
 from gridloom.operators import series as sr
 from gridloom.plans import bindings as b
 from gridloom.plans.registry import query
@@ -100,3 +103,48 @@ def feed_days_filled(spark, sf):
     spine = spans.select("meter_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 DAY"))).alias("period"))
     filled = spine.join(daily, ["meter_id", "period"], "left")
     return filled.select("meter_id", "period", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("row_count", F.lit(0)).alias("row_count"))
+
+
+# every reading as an origin: its change, and the reading that came k steps later
+_TRIED = """o AS (SELECT meter_id, ts, value, row_number() OVER past AS n, lag(value, 2) OVER past AS two, lag(value, 3) OVER past AS three,
+      list(value) OVER (past ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS vs, list(ts) OVER (past ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS tt
+      FROM feeds WHERE value >= 0 WINDOW past AS (PARTITION BY meter_id ORDER BY ts, value)),
+    c AS (SELECT *, CASE WHEN n > 3 THEN (value - three) / 3 ELSE (value - two) / 2 END AS change FROM o WHERE n >= 3),
+    k AS (SELECT *, unnest(range(1, 7)) AS step FROM c),
+    r AS (SELECT meter_id, ts, step, tt[step] AS target, vs[step] - greatest(0, value + change * step) AS err FROM k WHERE step <= len(vs))"""
+_TAILS = ", ".join(f"quantile_cont(err, {q}) AS {n}" for n, q in (("l80", 0.1), ("h80", 0.9), ("l95", 0.025), ("h95", 0.975)))
+_CUT_AT = "2024-01-03 00:00:00"
+
+
+@query(
+    "outlook_bounds",
+    f"""WITH {_TRIED},
+    q AS (SELECT meter_id, step, count(*) AS tried, {_TAILS} FROM r GROUP BY 1, 2),
+    last AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY meter_id, step ORDER BY n DESC) = 1)
+    SELECT l.meter_id, CAST(l.step AS INTEGER) AS step, round(greatest(0, l.value + l.change * l.step) + 1e-7, 4) AS forecast_kwh, coalesce(tried, 0) AS tried,
+      """
+    + ", ".join(
+        f"CASE WHEN tried > 0 THEN round(greatest(0, greatest(0, l.value + l.change * l.step) + {c[0]}{n}) + 1e-7, 4) END AS {'low' if c[0] == 'l' else 'high'}_{n}"
+        for n in (80, 95)
+        for c in ("l", "h")
+    )
+    + " FROM last AS l LEFT JOIN q ON l.meter_id IS NOT DISTINCT FROM q.meter_id AND l.step = q.step",
+)
+def outlook_bounds(spark, sf):
+    """Six steps ahead of every feed, with bounds from the errors of the same forecast on the feed's whole past."""
+    found = ol.outlook_bounds(b.feeds(spark, sf).where("value IS NOT NULL"), "meter_id", "ts", "value", 6, block=5000)
+    return found.drop("target_time").withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("forecast_kwh", "low_80", "high_80", "low_95", "high_95")})
+
+
+@query(
+    "outlook_coverage",
+    f"""WITH {_TRIED},
+    q AS (SELECT meter_id, step, {_TAILS} FROM r WHERE target < TIMESTAMP '{_CUT_AT}' GROUP BY 1, 2)
+    SELECT CAST(r.step AS INTEGER) AS step, count(*) AS judged, round(avg(CASE WHEN err BETWEEN l80 - 1e-9 AND h80 + 1e-9 THEN 1 ELSE 0 END), 6) AS within_80,
+      round(avg(CASE WHEN err BETWEEN l95 - 1e-9 AND h95 + 1e-9 THEN 1 ELSE 0 END), 6) AS within_95
+    FROM r JOIN q ON r.meter_id IS NOT DISTINCT FROM q.meter_id AND r.step = q.step WHERE r.ts >= TIMESTAMP '{_CUT_AT}' GROUP BY 1""",
+)
+def outlook_coverage(spark, sf):
+    """Share of the feeds' later readings inside the bounds learnt from the first two days."""
+    found = ol.bound_coverage(b.feeds(spark, sf), "meter_id", "ts", "value", datetime.fromisoformat(_CUT_AT), 6, block=5000)
+    return found.withColumns({c: F.round(c, 6) for c in ("within_80", "within_95")})
