@@ -13,7 +13,7 @@ from gridloom.plans import bindings as b
 from gridloom.plans.q_profile import rounded
 from gridloom.plans.registry import query
 from gridloom.session import scratch_path
-from gridloom.sources import readers, versioned, writers
+from gridloom.sources import paged, readers, versioned, writers
 from gridloom.streaming import ingest
 
 
@@ -207,31 +207,48 @@ def _found(spark, store):
     return found.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "actual_kwh", F.round("expected_kwh", 6).alias("expected_kwh"))
 
 
-_SITE_MONTHS = """SELECT site_id, strftime(timestamp, '%Y%m') AS month, {label} AS version, count(*) AS row_count,
-    round(sum(meter_reading), 4) AS total FROM enriched WHERE {keep} GROUP BY 1, 2"""
+_SITE_MONTHS = """SELECT site, strftime(ts, '%Y%m') AS month, {label} AS version, count(*) AS row_count, sum(value) AS total
+    FROM feeds WHERE {keep} GROUP BY 1, 2"""
 
 
 @query(
     "versioned_site_month",
     " UNION ALL ".join(
-        _SITE_MONTHS.format(label=n, keep=keep)
-        for n, keep in enumerate(["meter <> 0", "true", "meter_reading >= 0", "true"], 1)
+        _SITE_MONTHS.format(label=n, keep=keep) for n, keep in enumerate(["value >= 500", "true", "value IS NOT NULL", "true"], 1)
     ),
 )
 def versioned_site_month(spark, sf):
     """A table by site and month through four versions, each read whole: written, added to, rewritten from itself, restored."""
     path = scratch_path(spark, "versioned")
-    month = F.date_format("timestamp", "yyyyMM").alias("month")
-    df = b.enriched(spark, sf).select("event_id", "site_id", month, "meter", "meter_reading")
-    versioned.write_version(df.where("meter <> 0"), path, partition_by=["site_id", "month"], batch=("load", 0))
+    df = b.feeds(spark, sf).select("reading_id", "site", F.date_format("ts", "yyyyMM").alias("month"), "value")
+    high = F.coalesce(F.col("value") >= 500, F.lit(False))
+    versioned.write_version(df.where(high), path, partition_by=["site", "month"], batch=("load", 0))
     for _ in range(2):  # a batch that is sent again adds nothing
-        versioned.write_version(df.where("meter = 0"), path, append=True, batch=("load", 1))
+        versioned.write_version(df.where(~high), path, append=True, batch=("load", 1))
     whole = versioned.read_version(spark, path)
-    versioned.write_version(whole.where("meter_reading >= 0"), path, partition_by=["site_id", "month"], expected=2)
+    versioned.write_version(whole.where("value IS NOT NULL"), path, partition_by=["site", "month"], expected=2)
     versioned.restore(spark, path, 2)
     told = None
     for n in range(1, 5):
-        rows = versioned.read_version(spark, path, n).groupBy("site_id", "month")
-        part = rows.agg(F.count("*").alias("row_count"), F.round(F.sum("meter_reading"), 4).alias("total")).withColumn("version", F.lit(n))
+        rows = versioned.read_version(spark, path, n).groupBy("site", "month")
+        part = rows.agg(F.count("*").alias("row_count"), F.sum("value").alias("total")).withColumn("version", F.lit(n))
         told = part if told is None else told.unionByName(part)
-    return told.select("site_id", "month", "version", "row_count", "total")
+    return told.select("site", "month", "version", "row_count", "total")
+
+
+@query(
+    "seek_pages",
+    """WITH p AS (SELECT reading_id, meter_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, reading_id) - 1 AS position, count(*) OVER () AS n FROM feeds)
+    SELECT reading_id, meter_id, value, position FROM p WHERE position // 8 IN (0, 99, (n - 1) // 16, (n - 1) // 8)""",
+)
+def seek_pages(spark, sf):
+    """The first, the hundredth, a middle and the last page of the feed by size, each read through the index."""
+    path = scratch_path(spark, "pages")
+    rows = b.feeds(spark, sf).select("reading_id", "meter_id", "value")
+    n = paged.write_pages(rows, path, [F.col("value").desc_nulls_last(), F.col("reading_id")])
+    wanted = sorted({1, 100, max(n - 1, 0) // 16 + 1, max(n - 1, 0) // 8 + 1})
+    found = [paged.read_page(spark, path, k, 8, "position") for k in wanted]
+    out = found[0]
+    for page in found[1:]:
+        out = out.unionByName(page)
+    return out
