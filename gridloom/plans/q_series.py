@@ -148,3 +148,14 @@ def outlook_coverage(spark, sf):
     """Share of the feeds' later readings inside the bounds learnt from the first two days."""
     found = ol.bound_coverage(b.feeds(spark, sf), "meter_id", "ts", "value", datetime.fromisoformat(_CUT_AT), 6, block=5000)
     return found.withColumns({c: F.round(c, 6) for c in ("within_80", "within_95")})
+
+
+@query(
+    "outlook_backcasts",
+    f"""WITH {_TRIED}
+    SELECT meter_id, ts AS origin_time, CAST(step AS INTEGER) AS step, target AS target_time, round(err + 1e-7, 4) AS error FROM r""",
+)
+def outlook_backcasts(spark, sf):
+    """The error of the outlook from every reading of every feed, six steps ahead."""
+    tried = ol.backcasts(b.feeds(spark, sf), "meter_id", "ts", "value", 6, block=5000)
+    return tried.select("meter_id", "origin_time", "step", "target_time", F.round(F.col("actual") - F.col("forecast") + 1e-7, 4).alias("error"))

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators.outlook import backcasts, bound_coverage, outlook_bounds
 
@@ -111,3 +112,17 @@ def test_empty_tables_and_refused_settings(spark):
     for bad in ({"horizon": 0}, {"horizon": 30}, {"levels": ()}, {"levels": (100,)}, {"levels": (True,)}, {"block": 2}):
         with pytest.raises(ValueError):
             outlook_bounds(none, "meter", "at", "kwh", **bad)
+
+
+def test_a_hot_meter_is_dealt_by_block(spark):
+    """The windows see blocks in tasks of their own, whatever partitioning the join before them left."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(_walk("hot", 600, 1), SCHEMA)
+        tried = backcasts(df, "meter", "at", "kwh", 2, 20).withColumn("task", F.spark_partition_id())
+        assert tried.select("task").distinct().count() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
