@@ -71,9 +71,15 @@ def build_electricity(
 def build_electricity_features(
     merged: DataFrame, out: str, train_end: str, overwrite: bool = False, rows: int | None = None
 ) -> DataFrame:
-    """The feature step alone, from merged readings; ``rows`` caps the source rows."""
+    """The feature step alone, from merged readings; ``rows`` caps the source rows.
+
+    Stops if a site-hour comes with two values of one weather column.
+    """
     source = merged if rows is None else limit_rows(merged, rows, ["timestamp", "building_id"])
     qa.assert_observations(source, "meter", "meter_reading", "timestamp")
+    at_odds = qa.conflicts(source.where("site_id IS NOT NULL"), ["site_id", "timestamp"], WEATHER_COLUMNS).first().asDict()
+    if any(at_odds.values()):
+        raise ValueError(f"conflicting weather: {({c: n for c, n in at_odds.items() if n})}")
     spine = im.weather_spine(source, "site_id", "timestamp", WEATHER_COLUMNS)
     site, overall = im.fit_weather(spine, "site_id", "timestamp", WEATHER_COLUMNS, train_end)
     table = ft.electricity_features(ft.treat_weather(source, spine, "site_id", "timestamp", site, overall))

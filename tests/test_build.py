@@ -34,6 +34,15 @@ def test_failed_checks_leave_nothing(merged, tmp_path):  # noqa: F811
     assert not out.exists()
 
 
+def test_conflicting_weather_stops_the_build(merged, tmp_path):  # noqa: F811
+    out = tmp_path / "never"
+    row = merged.where("air_temperature IS NOT NULL AND site_id IS NOT NULL").limit(1)
+    other = row.withColumns({"air_temperature": F.col("air_temperature") + 1, "building_id": F.col("building_id") + 1000})
+    with pytest.raises(ValueError, match="conflicting weather: {'air_temperature': 1}"):
+        build.build_electricity_features(merged.unionByName(other), str(out), END)
+    assert not out.exists()
+
+
 @pytest.fixture(scope="module")
 def raw(spark):
     hours = [T0 + dt.timedelta(hours=h) for h in range(0, 1500, 30)]
