@@ -7,12 +7,14 @@ shared by a document and an item has the same fingerprint on both sides: each
 shared span of 13 words or more is found. Distinct fingerprints of a document
 join those of the items; only in documents with a hit are windows extended to
 all 13 words and joined to the items' windows. Fewer words than a fingerprint
-needs have no guarantee, so windows of short items are joined by their own
-hash, one length at a time and only for lengths that occur.
+needs have no guarantee, so the window of a short item has the hash of its head
+as fingerprint (its first five words, or all of them), and documents add their
+grams of the widths that occur to their fingerprints.
 
 At scale: texts are read once for fingerprints (stored as arrays of distinct
-hashes); copies share a text key and fold before rows move; the items' tables
-are stored, so that Spark knows their size when it chooses a join.
+hashes), whatever lengths items have, and those with a hit once more; copies
+share a text key and fold before rows move; the items' tables are stored, so
+that Spark knows their size when it chooses a join.
 
 Null or empty texts have no words and are never hit; so are items without
 words. A null ``item_id`` marks words but is not listed; repeated items count
@@ -23,6 +25,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +43,24 @@ def _fingerprints(hashes: str) -> Column:
     return F.transform(heads, lambda x, i: F.least(x, *[F.get(F.col(hashes), i + j) for j in range(1, across)]))
 
 
-def _prepared(table: DataFrame) -> DataFrame:
-    """Adds ``words`` and ``prints``, the fingerprint of the window at each word."""
+def _prepared(table: DataFrame, widths: Sequence[int] = ()) -> DataFrame:
+    """Adds ``words``, ``prints``, the fingerprint of the window at each word, and ``heads<n>``, the gram of n words at each."""
     return (
         table.withColumn("words", alnum_words())
         .withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-        .withColumn("grams", grams("hashes", GRAM))
+        .withColumns({"grams": grams("hashes", GRAM), **{f"heads{w}": grams("hashes", w) for w in widths}})
         .withColumn("prints", _fingerprints("grams"))
         .drop("hashes", "grams")
     )
 
 
+def _starts(length: int) -> Column:
+    """Places (start, length) where a window of ``length`` words has a hit as its fingerprint."""
+    known, last = ("prints", F.size("prints") - 1) if length == WINDOW else (f"heads{min(length, GRAM)}", F.size("words") - length)
+    places = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i <= last) & F.array_contains("hits", F.get(F.col(known), i)))
+    return F.transform(places, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length")))
+
+
 def _window_hashes(start: Column, length: Column) -> list[Column]:
     piece = F.slice(F.col("words"), start + 1, length)
     return [F.xxhash64(piece, F.size("words") * 0).alias("a"), F.xxhash64(F.lit(1), piece, F.size("words") * 0).alias("b")]
@@ -58,18 +69,23 @@ def _window_hashes(start: Column, length: Column) -> list[Column]:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, one, two, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text", *text_keys())
-    items = _prepared(benchmark.select("item_id", "text")).withColumn("n", F.size("words")).where("n > 0")
+    all_widths = range(1, GRAM + 1)
+    items = _prepared(benchmark.select("item_id", "text"), all_widths).withColumn("n", F.size("words")).where("n > 0")
+    head = F.coalesce(*[F.get(F.col(f"heads{w}"), F.lit(0)) for w in reversed(all_widths)])
+    items = items.select("item_id", "words", "n", "prints", head.alias("head"))
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - WINDOW, F.lit(0)))).alias("start")
-    windows = items.select("item_id", "words", "n", "prints", starts).select(
-        "item_id", F.get("prints", F.col("start")).alias("print"), F.least("n", F.lit(WINDOW)).alias("length"),
+    windows = items.select("item_id", "words", "n", "prints", "head", starts).select(
+        "item_id", F.when(F.col("n") < WINDOW, F.col("head")).otherwise(F.get("prints", F.col("start"))).alias("print"), F.least("n", F.lit(WINDOW)).alias("length"),
         *_window_hashes(F.col("start"), F.least("n", F.lit(WINDOW))),
     )
     windows = materialize(windows.distinct(), "windows")
     plain = materialize(windows.select("a", "b", "length").distinct(), "plain")
-    prints = materialize(windows.where(F.col("length") == WINDOW).select("print").distinct(), "prints")
+    prints = materialize(windows.select("print").distinct(), "prints")
     short = sorted(r[0] for r in windows.where(F.col("length") < WINDOW).select("length").distinct().collect())
+    widths = sorted({min(length, GRAM) for length in short})
 
-    read = _prepared(docs).select("doc_id", "one", "two", F.size("words").cast("long").alias("n_words"), F.array_distinct("prints").alias("prints"))
+    known = F.array_distinct(F.concat("prints", *[f"heads{w}" for w in widths]))
+    read = _prepared(docs, widths).select("doc_id", "one", "two", F.size("words").cast("long").alias("n_words"), known.alias("prints"))
     read = materialize(read, "read")
     hit = read.select("one", "two", F.explode("prints").alias("print")).join(prints, "print")
     hit = materialize(hit.groupBy("one", "two").agg(F.collect_set("print").alias("hits")), "hit")
@@ -77,16 +93,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # joined before it is cut into words: only texts with a hit are prepared again
     near = docs.select("text", F.col("one").alias("o"), F.col("two").alias("t"))
     near = near.join(hit, (F.col("o") == hit["one"]) & (F.col("t") == hit["two"])).select("one", "two", "text", "hits")
-    near = _prepared(near).select("one", "two", "words", "prints", "hits")
-    at = F.filter(F.sequence(F.lit(0), F.size("prints") - 1), lambda i: F.array_contains("hits", F.get(F.col("prints"), i)))
-    near = near.select("one", "two", "words", F.explode(at).alias("start"))
-    found = near.select("one", "two", "start", F.lit(WINDOW).alias("length"), *_window_hashes(F.col("start"), F.lit(WINDOW)))
-    for length in short:
-        own = docs.select("one", "two", alnum_words().alias("words")).where(F.size("words") >= length)
-        own = own.select("one", "two", "words", F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("start"))
-        found = found.unionByName(
-            own.select("one", "two", "start", F.lit(length).alias("length"), *_window_hashes(F.col("start"), F.lit(length)))
-        )
+    near = _prepared(near, widths)
+    near = near.select("one", "two", "words", F.explode(F.concat(*[_starts(length) for length in [WINDOW, *short]])).alias("at"))
+    near = near.select("one", "two", "words", "at.start", "at.length")
+    found = near.select("one", "two", "start", "length", *_window_hashes(F.col("start"), F.col("length")))
     found = materialize(found.join(plain, ["a", "b", "length"]).distinct(), "found")
     spans = F.collect_set(F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop")))
     words = found.groupBy("one", "two").agg(spans.alias("s")).select("one", "two", covered(F.col("s")).alias("n_hit"))
