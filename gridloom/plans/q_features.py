@@ -9,6 +9,7 @@ from gridloom.functions import text as tx
 from gridloom.functions import weather as wf
 from gridloom.functions.calendar import calendar, cyclical, season
 from gridloom.functions.numeric import from_log, pct, to_log
+from gridloom.operators import dictionary as dc
 from gridloom.operators import features as ft
 from gridloom.operators import impute as im
 from gridloom.operators import profile as pf
@@ -357,6 +358,56 @@ def feature_dictionary(spark, sf):
     return floats(ft.feature_dictionary(materialize(ft.features_v1(b.clean(spark, sf)), "features")))
 
 
+_CARRIED = "flag, earlier value of the site, training medians"
+_T, _D, _U, _Y = "timestamp", "dew_temperature", "square_feet", "year_built"
+_A = "air_temperature"
+# What each engineered column of the electricity set reads, stated apart from its expressions.
+_READS = {
+    **dict.fromkeys(["year", "quarter", "month", "week_of_year", "day", "day_of_year", "weekday", "hour", "is_weekend", "season"], _T),
+    **dict.fromkeys([f"{c}_{f}" for c in ("hour", "weekday", "month") for f in ("sin", "cos")], _T),
+    "building_age": f"{_T},{_Y}",
+    "log_square_feet": _U,
+    "area_per_floor": f"floor_count,{_U}",
+    "temperature_difference": f"{_A},{_D}",
+    "relative_humidity_proxy": f"{_A},{_D}",
+    "wind_x": "wind_direction,wind_speed",
+    "wind_y": "wind_direction,wind_speed",
+    "temperature_x_square_feet": f"{_A},{_U}",
+    "hour_x_temperature": f"{_A},{_T}",
+    "cooling_demand_proxy": _A,
+    "heating_demand_proxy": _A,
+}
+
+
+def _dictionary_sql():
+    flags = [f"{c}_missing" for c in W]
+    kept = [c for c in ft.ELECTRICITY_RAW]
+    rows = []
+    for n in [*kept, *flags, *_READS]:
+        read = _READS.get(n, n.removesuffix("_missing")).split(",")
+        ways = [("required" if c in ("timestamp", "meter_reading") else _CARRIED if c in W else "kept") for c in sorted(read, key=kept.index)]
+        sent = n not in ("building_id", "site_id", "timestamp", "meter_reading")
+        rows.append(
+            f"""SELECT '{n}' AS feature, '{'raw' if n in kept else 'engineered'}' AS origin, '{','.join(sorted(read))}' AS sources,
+            '{'; '.join(dict.fromkeys(ways))}' AS missing_handling, {str(sent).lower()} AS sent_to_model, false AS reads_target,
+            CAST(count(*) FILTER (WHERE {n} IS NULL) AS BIGINT) AS missing FROM f"""
+        )
+    body = "SELECT event_id, " + ", ".join(ft.ELECTRICITY_RAW) + ", " + ", ".join(flags) + f", {_EL} FROM treated"
+    return f"WITH f AS MATERIALIZED ({body}) " + " UNION ALL ".join(rows)
+
+
+@query("electricity_dictionary", _dictionary_sql())
+def electricity_dictionary(spark, sf):
+    """Origin, sources, missing values and use of all columns of the electricity set; formula and range are the operator's."""
+    rows = treated(spark, sf)
+    features = materialize(ft.electricity_features(rows), "electricity")
+    expressions = ft.electricity_columns() | {f"{c}_missing": F.col(c).isNull().cast("byte") for c in W}
+    handling = dict.fromkeys(["timestamp", "meter_reading"], "required") | dict.fromkeys(W, _CARRIED)
+    handling |= {c: "kept" for c in ft.ELECTRICITY_RAW if c not in handling}
+    table = dc.described(features, rows.select(*ft.ELECTRICITY_RAW), expressions, handling, "meter_reading", ft.FORBIDDEN_PREDICTORS)
+    return table.select("feature", "origin", "sources", "missing_handling", "sent_to_model", "reads_target", "missing")
+
+
 @query(
     "leakage_check",
     """SELECT 'first feature set' AS features, CAST(0 AS BIGINT) AS differing_rows
