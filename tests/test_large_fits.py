@@ -22,6 +22,21 @@ def rows(spark):
     return spark.createDataFrame(data, "id long, a double, b double, kind string, y double").repartition(3, "id").cache()
 
 
+@pytest.mark.parametrize("kind", ["tree", "forest", "forest_electricity"])
+def test_tasks_of_an_executor_have_room_together(spark, kind):
+    learner = ml.estimator(kind, "y")
+    # four tasks hold their sums, and hand them on, within a third of 6 GB of heap
+    assert 4 * 2 * learner.getMaxMemoryInMB() <= 2048
+    assert learner.getCacheNodeIds()
+
+
+def test_room_and_node_numbers_leave_the_model_as_it_is(rows):
+    small = {"numTrees": 3, "maxDepth": 8}
+    now = ml.fit("forest_electricity", rows, SPEC, **small)
+    earlier = ml.fit("forest_electricity", rows, SPEC, **small, maxMemoryInMB=1024, cacheNodeIds=False)
+    assert now.stages[-1].toDebugString.split("\n")[1:] == earlier.stages[-1].toDebugString.split("\n")[1:]
+
+
 def _one_at_a_time(model, rows, names, seed=ml.SEED, repeats=2):
     """Every column shuffled for itself, every row prepared and predicted again."""
     own = rows.select("id", "y", *names).orderBy("id").toPandas()
