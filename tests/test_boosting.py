@@ -174,3 +174,57 @@ def test_codes_of_new_rows(spark):
     new = spark.createDataFrame([("a",), (None,), ("",), ("new",)], "cat string")
     got = [r["code"] for r in encoding.apply_target_codes(new.coalesce(1), codes, "cat", prior).orderBy(F.col("cat").asc_nulls_first()).collect()]
     assert got == [(5 + 3) / 2, 3.0, (4 + 3) / 3, 3.0]
+
+
+def plain_cut(counts, sums, settings):
+    """Best cut of one column, by trying all."""
+    n, g = int(counts.sum()), int(sums.sum())
+    best = (-1.0, 0, True, 0, 0)
+    for missing_left in (True, False):
+        for cut in range(1, len(counts)):
+            n_left, g_left = int(counts[1 : cut + 1].sum()), int(sums[1 : cut + 1].sum())
+            if missing_left:
+                n_left, g_left = n_left + int(counts[0]), g_left + int(sums[0])
+            if min(n_left, n - n_left) < settings.least_rows:
+                continue
+            gain = float(g_left) ** 2 / (n_left + settings.l2) + float(g - g_left) ** 2 / (n - n_left + settings.l2) - float(g) ** 2 / (n + settings.l2)
+            if gain > max(best[0], 0.0):
+                best = (gain, cut, missing_left, n_left, g_left)
+    return best
+
+
+@pytest.mark.parametrize("l2", [0.0, 1.5])
+def test_best_cut_of_many_columns(l2):
+    rng = np.random.default_rng(8)
+    settings = boosting.Settings(least_rows=3, l2=l2)
+    for trial in range(60):
+        n, width = int(rng.integers(1, 40)), int(rng.integers(1, 9))
+        x, grad = rng.integers(0, 6, (n, width)), rng.integers(-5, 6, n)
+        if trial % 3 == 0:
+            x[:, -1] = x[:, 0]  # equal gains
+        counts = np.array([np.bincount(c, minlength=256) for c in x.T])
+        sums = np.array([np.bincount(c, grad, 256).astype(np.int64) for c in x.T])
+        each = [plain_cut(a, b, settings) for a, b in zip(counts, sums)]
+        top = max(range(width), key=lambda c: (each[c][0], -c))
+        gain, column, *cut = boosting.best_cut(counts, sums, settings)
+        assert gain == pytest.approx(each[top][0], abs=1e-9)
+        if gain > 0 and sum(abs(e[0] - gain) < 1e-9 for e in each) == 1:
+            assert (column, *cut) == (top, *each[top][1:])
+
+
+def test_histograms_travel_in_packs(spark):
+    """A task sends a row per leaf and pack of columns, and only as many bins as the columns have."""
+    rng = np.random.default_rng(9)
+    width = 2 * boosting.PACK + 3
+    rows = [(*map(float, rng.integers(0, 3, width)), float(y), False) for y in rng.normal(size=80)]
+    names = [f"c{i}" for i in range(width)]
+    slim = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names) + ", _label double, _held boolean").repartition(2)
+    edges = [[0.0, 1.0]] * width
+    blocks = slim.mapInArrow(boosting._to_blocks(edges), boosting._BLOCK)
+    tree = boosting.Tree()
+    tree.add(0.0)
+    sums = blocks.mapInArrow(boosting._histograms(width, 0.0, [], tree, [0], 8.0, [4] * width), boosting._SUMS).collect()
+    sent = [r for r in sums if r["node"] == 0]
+    assert sorted({r["column"] for r in sent}) == [0, boosting.PACK, 2 * boosting.PACK] and len(sent) <= 2 * 3
+    assert {len(r["counts"]) for r in sent} == {8 * 4 * boosting.PACK, 8 * 4 * 3}
+    assert sum(np.frombuffer(r["counts"], np.int64).sum() for r in sent) == 80 * width
