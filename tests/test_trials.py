@@ -136,6 +136,25 @@ def test_electricity_path_samples_training_rows_only(table):
         assert got == want
 
 
+def test_electricity_path_fits_all_training_rows(spark):
+    """More training rows than the published sample of 250,000; the last tenth, all large, moves every limit."""
+    n = 300_000
+    y = F.expr(f"CASE WHEN id < {n} AND id >= {n * 9 // 10} THEN 5000.0D ELSE CAST(id % 1000 AS DOUBLE) END")
+    split = F.when(F.col("id") < n, "training").when(F.col("id") < n + 500, "validation").otherwise("testing")
+    rows = spark.range(n + 1000).select("id", (F.col("id") % 10).cast("double").alias("a"), F.lit(1.0).alias("b"), split.alias("split"), y.alias("y"))
+    # rows that share their order columns, or lack one, are fitted once each like all others
+    rows = materialize(rows.withColumn("id", F.when(F.col("id") % 5 > 0, F.col("id") % 7)), "all-rows")
+    trials, bands = tr.electricity_trials(rows, NUMBERS, ["id"], learners=[tr.Learner("dummy", "median"), tr.Learner("line", "linear")])
+    assert {t.row["training_rows"] for t in trials} == {n}
+    values = np.where(np.arange(n) >= n * 9 // 10, 5000.0, np.arange(n) % 1000)
+    held = np.arange(n, n + 500) % 1000
+    assert trials[0].row["validation_mae"] == pytest.approx(np.abs(held - np.median(values)).mean())
+    place = np.searchsorted(np.quantile(values, [0.5, 0.9, 0.99]), held, side="left")
+    want = {b: int((place == i).sum()) for i, b in enumerate(["small", "medium", "large", "peak"]) if (place == i).any()}
+    got = {r["band"]: r["row_count"] for r in bands.where("model = 'dummy_raw' AND split = 'validation'").collect()}
+    assert got == want
+
+
 def test_importances_of_all_models_in_one_table(table, done):
     rows = tr.importances(done, table.where("split = 'validation'"), "id").collect()
     found = {(r["model"], r["feature"]): r for r in rows}
