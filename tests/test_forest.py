@@ -145,4 +145,4 @@ def test_medians_of_long_columns_are_exact(spark, monkeypatch):
     for kept in (3, 1 << 14):
         monkeypatch.setattr(scale, "KEPT_VALUES", kept)
         found = scale.group_medians(df, [], list(columns), rows_in_task=0).first().asDict()
-        assert found == pytest.approx(want, rel=0, abs=0, nan_ok=True)
+        assert found.keys() == want.keys() and all(v == w or (v is not w and v != v and w != w) for v, w in zip(found.values(), want.values()))
